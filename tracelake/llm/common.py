@@ -80,3 +80,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_RANDOM = np.random.default_rng(20240229)
+_BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(name: str, base: int, n: int) -> np.ndarray:
+    known = _POWERS.get(name)
+    if known is None or len(known) < n:
+        values = np.full(max(n, 1 << 16), np.uint64(base % 2**64))
+        values[0] = 1
+        known = _POWERS[name] = np.multiply.accumulate(values)
+    return known[:n]
+
+
+def rolling(raw: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """Prefix sums C such that (C[j] - C[i]) * inverse_power(i) depends on the bytes i..j alone."""
+    values = _BYTE_VALUES if fold is None else _BYTE_VALUES[fold]
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values[raw] * _powers("up", _BASE, len(raw)), out=out[1:])
+    return out
+
+
+def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes start..stop of the text behind ``prefix``."""
+    down = _powers("down", pow(_BASE, -1, 2**64), len(prefix))
+    return mix64((prefix[stop] - prefix[start]) * down[start])
+
+
+def ascii_lower() -> np.ndarray:
+    fold = np.arange(256, dtype=np.uint8)
+    fold[65:91] += 32
+    return fold
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and stops of the maximal runs of word bytes, and for each text the index of its first word (n+1)."""
+    flag = is_word[raw]
+    if not len(flag):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    edge = np.zeros(len(flag) + 1, bool)
+    edge[offsets] = True
+    start = flag.copy()
+    start[1:] &= ~flag[:-1] | edge[1:-1]
+    stop = flag.copy()
+    stop[:-1] &= ~flag[1:] | edge[1:-1]
+    starts = np.flatnonzero(start)
+    return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
+
+
+def let(value, body):
+    """``body`` of a value that is computed once: a lambda variable holds it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

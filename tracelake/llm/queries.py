@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from tracelake.llm.decontaminate import op5_benchmark_decontamination
 from tracelake.llm.packing import op8_packing
+from tracelake.llm.quality import op7_quality_rules
 from tracelake.llm.token_counts import op1_token_counts
 from tracelake.llm.token_output import op4_token_output
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_token_output": op4_token_output,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracelake.llm.decontaminate import op5_benchmark_decontamination
 from tracelake.llm.packing import op8_packing
+from tracelake.llm.pii import op10_pii
 from tracelake.llm.quality import op7_quality_rules
 from tracelake.llm.token_counts import op1_token_counts
 from tracelake.llm.token_output import op4_token_output
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}

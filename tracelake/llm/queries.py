@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracelake.llm.decontaminate import op5_benchmark_decontamination
+from tracelake.llm.jaccard import op6_ngram_jaccard
 from tracelake.llm.packing import op8_packing
 from tracelake.llm.pii import op10_pii
 from tracelake.llm.quality import op7_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_token_output": op4_token_output,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op10_pii": op10_pii,

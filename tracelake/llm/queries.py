@@ -7,6 +7,7 @@ from tracelake.llm.jaccard import op6_ngram_jaccard
 from tracelake.llm.packing import op8_packing
 from tracelake.llm.pii import op10_pii
 from tracelake.llm.quality import op7_quality_rules
+from tracelake.llm.suffix_dedup import op9_suffix_dedup
 from tracelake.llm.token_counts import op1_token_counts
 from tracelake.llm.token_output import op4_token_output
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
 }
 

@@ -92,10 +92,10 @@ class OneClassSVM:
         import pandas as pd
 
         @F.pandas_udf("double")
-        def score(*cols: pd.Series) -> pd.Series:
-            return pd.Series(self.score_array(np.stack([c.to_numpy(float) for c in cols], 1)))
+        def score(rows: pd.Series) -> pd.Series:
+            return pd.Series(self.score_array(np.stack(rows.to_list())) if len(rows) else np.zeros(0))
 
-        return df.withColumn("score", score(*[F.col(c).cast("double") for c in self.columns]))
+        return df.withColumn("score", score(F.array(*[F.col(c).cast("double") for c in self.columns])))
 
     def save(self, path: str) -> None:
         np.savez(path, mean=self.mean, std=self.std, gamma=self.gamma, vectors=self.vectors, alpha=self.alpha, columns=np.array(self.columns), nu=self.nu)

@@ -34,5 +34,5 @@ def since_previous(events: DataFrame, windows: DataFrame, g: Geometry) -> DataFr
     cells = events.groupBy("run_id", F.expr(f"timestamp_ns - pmod(timestamp_ns, {g.stride_ns}L)").alias("start_ns")).agg(F.max("timestamp_ns").alias("_cell"))
     before = Window.partitionBy("run_id").orderBy("start_ns").rowsBetween(Window.unboundedPreceding, -1)
     gap = (F.col("start_ns") - F.max("_cell").over(before)) / 1e6
-    capped = F.least(F.greatest(gap, F.lit(0.0)), F.lit(g.gap_cap_ns / 1e6))
+    capped = F.when(gap.isNotNull(), F.least(F.greatest(gap, F.lit(0.0)), F.lit(g.gap_cap_ns / 1e6)))
     return windows.join(cells, ["run_id", "start_ns"], "left").select("run_id", "start_ns", F.coalesce(capped, F.lit(g.window_ns / 1e6)).alias("time_since_previous_event_ms"))

@@ -1,4 +1,7 @@
 """The engine's queries by name, and SQL for those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tracelake.plans import scores, windows
+
+_ALL = {**windows.QUERIES, **scores.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -12,6 +12,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +90,6 @@ class OneClassSVM:
         return out
 
     def anomaly_score(self, df: DataFrame) -> DataFrame:
-        import pandas as pd
-
         @F.pandas_udf("double")
         def score(rows: pd.Series) -> pd.Series:
             return pd.Series(self.score_array(np.stack(rows.to_list())) if len(rows) else np.zeros(0))

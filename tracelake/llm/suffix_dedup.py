@@ -32,8 +32,8 @@ ANCHOR = 160
 CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 1 << 20
 BLOCK_CONTEXTS = 400
-#: Rows (about 40 bytes) that may be broadcast to the documents; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Entries (about 60 bytes each) that may be broadcast to the documents; beyond, the join shuffles.
+BROADCAST_ENTRIES = 2_500_000
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -194,9 +194,10 @@ def _long(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tup
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _attach(docs: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
-    """``docs`` joined to ``rows`` by (a, b); few rows are broadcast, more are shuffled."""
-    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, ["a", "b"], kind)
+def _attach(docs: DataFrame, rows: DataFrame, entries: str, kind: str) -> DataFrame:
+    """``docs`` joined to ``rows`` by (a, b); rows whose arrays ``entries`` are few in all are broadcast, more are shuffled."""
+    total = rows.agg(F.coalesce(F.sum(F.size(entries) + 1), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(rows) if total <= BROADCAST_ENTRIES else rows, ["a", "b"], kind)
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -221,7 +222,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
                 [*(flat.field(c) for c in names), pa.array([data[i:j] for i, j in zip(base.tolist(), stop.tolist())], pa.binary())], names=[*names, "bytes"]
             )
 
-    fetched = _attach(texts, wanted, "inner").select("text", "w").mapInArrow(fetch, "anchor long, code long, extra long, copies long, g long, bytes binary")
+    fetched = _attach(texts, wanted, "w", "inner").select("text", "w").mapInArrow(fetch, "anchor long, code long, extra long, copies long, g long, bytes binary")
     blocks = F.ceil(F.col("g") / BLOCK_CONTEXTS).cast("int")
     fetched = fetched.withColumn("side", F.pmod(F.xxhash64("code", "extra"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     fetched = fetched.select("anchor", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "code", "extra", "copies", "bytes")
@@ -284,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    return _attach(rows, spans, "left").select("id", "text", "spans").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return _attach(rows, spans, "spans", "left").select("id", "text", "spans").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,17 +50,22 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict]) -
 
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of distinct ``calls`` (call_id, waits_for), by pointer doubling; null on cycles."""
+    kind = calls.schema["waits_for"].dataType
     known = calls.filter("call_id is not null").groupBy("call_id").agg(F.min("waits_for").alias("waits_for"))
     ids = known.select(F.col("call_id").alias("p"))
-    state = known.join(ids, F.col("waits_for") == F.col("p"), "left").select("call_id", F.col("p").alias("up"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("level"))
-    state = materialise(state, "call-levels")
+    # calls that wait for nothing are set apart: as null keys they would all meet in one task
+    first = known.filter("waits_for is null").select("call_id", F.lit(None).cast(kind).alias("up"), F.lit(0).cast("long").alias("level"))
+    others = known.filter("waits_for is not null").join(ids, F.col("waits_for") == F.col("p"), "left")
+    others = others.select("call_id", F.col("p").alias("up"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("level"))
+    state = materialise(first.unionByName(others), "call-levels")
     rounds = math.ceil(math.log2(max(2, state.count()))) + 1
     for _ in range(rounds):
         if not state.filter("up is not null").limit(1).count():
             break
         above = state.select(F.col("call_id").alias("p"), F.col("up").alias("above"), F.col("level").alias("more"))
-        nxt = state.join(above, F.col("up") == F.col("p"), "left").select("call_id", F.col("above").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
-        state = materialise(nxt, "call-levels")
+        moved = state.filter("up is not null").join(above, F.col("up") == F.col("p"), "left")
+        moved = moved.select("call_id", F.col("above").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+        state = materialise(state.filter("up is null").unionByName(moved), "call-levels")
     return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 

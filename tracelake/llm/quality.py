@@ -159,5 +159,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (m["n_words"] < 10) | (m["n_repeat_words"] * 100 > m["n_words"] * 20)
     return judged.select("doc_id", measures(text_of()).alias("m"), F.col(name).alias("rejected_by")).select(
         "doc_id", m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"),
-        m["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"), "rejected_by",
+        m["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"),
     )
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, w[i:i+4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+c AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+v AS (SELECT doc_id, sum(least(5, coalesce(nx - i, 5))) AS r FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM c) GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, len(l) AS lines, length(t) - length(replace(t, '!', '')) AS bangs,
+  length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS upper, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters FROM w LEFT JOIN v USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 4 > n_words OR n_dup_lines * 2 > lines OR upper * 2 > letters OR bangs * 4 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 20 OR letters * 2 < word_chars) AS kept FROM f
+"""

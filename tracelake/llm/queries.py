@@ -6,7 +6,7 @@ from tracelake.llm.decontaminate import op5_benchmark_decontamination
 from tracelake.llm.jaccard import op6_ngram_jaccard
 from tracelake.llm.packing import op8_packing
 from tracelake.llm.pii import op10_pii
-from tracelake.llm.quality import op7_quality_rules
+from tracelake.llm.quality import OP7_SQL, op7_quality_rules
 from tracelake.llm.site_quality import op3_site_quality
 from tracelake.llm.suffix_dedup import op9_suffix_dedup
 from tracelake.llm.token_counts import op1_token_counts
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_tool_calls": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op7_quality_rules": OP7_SQL}

@@ -20,6 +20,7 @@ from tracelake.operators.scoring import calibration, fit_scaler
 
 #: Rows that the support vector machine is fitted on, at most; chosen by hash.
 FIT_ROWS = 2000
+# Weights of the fields' surprise, and how each model's scores are aggregated by default.
 WEIGHTS = {"op": 0.05, "size_bucket": 0.25, "csrep": 0.15, "cpu_bucket": 0.05, "reclaim": 0.05, "life": 0.20, "dt": 0.25}
 
 
@@ -214,6 +215,5 @@ class FieldNLL:
         return _arrays(rows.withColumn("score", F.when(F.col("pos") == 0, 0.0).otherwise(total)))
 
 
-#: How the sequence scores of a model are aggregated where nothing else is asked for.
 AGGREGATION = {"ocsvm": "max", "zscore": "max", "markov": "mean", "markov_centroid": "mean", "field_nll": "p90"}
 MODELS = {"ocsvm": OneClassSVM, "zscore": ZScore, "markov": Markov, "markov_centroid": MarkovCentroid, "field_nll": FieldNLL}

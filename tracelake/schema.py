@@ -55,7 +55,7 @@ def _per_bucket(prefix: str) -> list[str]:
     return [f"{prefix}_{label}" for label in BUCKET_LABELS]
 
 
-#: The features of a window by group, in the order of the groups' first columns.
+# Names, groups and order of a window's features.
 GROUPS = {
     **{p: _per_bucket(p) for p in ("alloc_count", "free_count", "alloc_rate", "free_rate")},
     "global": [

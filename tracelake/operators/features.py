@@ -55,8 +55,11 @@ def placed_events(events: DataFrame, g: S.Geometry = S.Geometry()) -> DataFrame:
     return placed.withColumn("bin", place).repartition(*WINDOW).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def window_features(events: DataFrame, g: S.Geometry = S.Geometry()) -> DataFrame:
-    """run_id, start_ns, top_task_id, top_task_comm and the features of ``schema.FEATURES`` as floats, for every window."""
+def window_features(events: DataFrame, g: S.Geometry = S.Geometry(), features: list[str] | None = None, top_task: bool = True) -> DataFrame:
+    """run_id, start_ns and ``features`` (all of ``schema.FEATURES`` if not given) as floats, for every window; with ``top_task``
+    also top_task_id and top_task_comm. Groupings that no wanted column needs are not made."""
+    want = list(features) if features is not None else S.FEATURES
+    needs = lambda *names: any(n in want for n in names)
     e = placed_events(events, g)
     alloc, free = F.col("op") == "ALLOC", F.col("op") == "FREE"
     known = free & F.col("size_resolved")
@@ -90,9 +93,21 @@ def window_features(events: DataFrame, g: S.Geometry = S.Geometry()) -> DataFram
     share = lambda key, name: dense.groupBy(*WINDOW, key).agg(F.count("*").alias("_n")).groupBy(*WINDOW).agg((F.max("_n") / F.sum("_n")).alias(name))
 
     out = spine(events, g)
-    for part in (base, top, sites, cpus, bins, share("bucket", "burst_dominant_bucket_ratio"), share("call_site", "burst_dominant_callsite_ratio"), since_previous(events, out, g)):
-        out = out.join(part, WINDOW, "left")
-    out = out.join(comms, [*WINDOW, "top_task_id"], "left").join(task_bins, [*WINDOW, "top_task_id"], "left")
+    ranked = top_task or needs("n_active_tasks", "task_alloc_entropy", *(f for f in S.FEATURES if f.startswith("top_task_")))
+    parts = [
+        (True, lambda: base), (ranked, lambda: top), (needs("alloc_callsite_entropy", "free_callsite_entropy"), lambda: sites), (needs(*S.GROUPS["cpu"]), lambda: cpus),
+        (needs("alloc_burst_1ms", "free_burst_1ms"), lambda: bins), (needs("burst_dominant_bucket_ratio"), lambda: share("bucket", "burst_dominant_bucket_ratio")),
+        (needs("burst_dominant_callsite_ratio"), lambda: share("call_site", "burst_dominant_callsite_ratio")), (needs("time_since_previous_event_ms"), lambda: since_previous(events, out, g)),
+    ]
+    windows = out
+    for wanted, part in parts:
+        if wanted:
+            windows = windows.join(part(), WINDOW, "left")
+    out = windows
+    if top_task:
+        out = out.join(comms, [*WINDOW, "top_task_id"], "left")
+    if needs("top_task_alloc_burst_1ms"):
+        out = out.join(task_bins, [*WINDOW, "top_task_id"], "left")
     out = out.fillna(0, [c for c in out.columns if c not in (*WINDOW, "top_task_id", "top_task_comm", "_life")])
 
     ms = g.window_ns / 1e6
@@ -101,20 +116,21 @@ def window_features(events: DataFrame, g: S.Geometry = S.Geometry()) -> DataFram
         col |= {f"{kind}_rate_{label}": F.col(f"{kind}_count_{label}") / ms for label in S.BUCKET_LABELS}
     counts = lambda p: [F.col(f"{p}_count_{label}") for label in S.BUCKET_LABELS]
     resolved = reduce(lambda a, b: a + b, counts("free"))
-    top_free = reduce(lambda a, b: a + b, counts("top_task_free"))
     col |= {
         "alloc_free_bucket_corr": _correlation(counts("alloc"), counts("free")),
         "net_alloc_resolved": F.col("total_alloc") - resolved,
         "alloc_free_ratio": capped_ratio(F.col("total_alloc"), F.col("total_free")),
-        "top_task_alloc_fraction": F.col("_top_n") / F.greatest(F.col("total_alloc"), F.lit(1)),
-        "top_task_alloc_free_ratio": capped_ratio(F.col("_top_n"), top_free),
         "is_empty": (F.col("event_count") == 0).cast("int"),
         "reclaim_rate": F.col("reclaim_count") / F.greatest(F.col("total_alloc"), F.lit(1)),
         "lifetime_median": F.coalesce(F.get("_life", F.lit(0)), F.lit(0.0)),
         "lifetime_p90": F.coalesce(F.get("_life", F.lit(1)), F.lit(0.0)),
         "long_lived_count": F.greatest(F.lit(0), F.col("total_alloc") - F.col("total_free")),
     }
-    return out.select(*WINDOW, F.coalesce("top_task_id", F.lit(-1)).alias("top_task_id"), F.coalesce("top_task_comm", F.lit("")).alias("top_task_comm"), *[sanitise(col[f]).alias(f) for f in S.FEATURES])
+    if ranked:
+        top_free = reduce(lambda a, b: a + b, counts("top_task_free"))
+        col |= {"top_task_alloc_fraction": F.col("_top_n") / F.greatest(F.col("total_alloc"), F.lit(1)), "top_task_alloc_free_ratio": capped_ratio(F.col("_top_n"), top_free)}
+    named = [F.coalesce("top_task_id", F.lit(-1)).alias("top_task_id"), F.coalesce("top_task_comm", F.lit("")).alias("top_task_comm")] if top_task else []
+    return out.select(*WINDOW, *named, *[sanitise(col[f]).alias(f) for f in want])
 
 
 def empty_ratio(features: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def target_buckets(spark, sf_dir):
     from tracelake.operators.features import window_features
 
     e = trace_events(spark, sf_dir)
-    w = Q.label_windows(window_features(e, G), spray_runs(e), G).withColumns({"cve": F.substring("run_id", 1, 5), "variant": F.col("run_id")})
+    w = Q.label_windows(window_features(e, G, S.GROUPS["alloc_count"], False), spray_runs(e), G).withColumns({"cve": F.substring("run_id", 1, 5), "variant": F.col("run_id")})
     targets = w.select("cve").distinct().withColumn("bucket", F.lit("4096"))
     return GT.target_bucket(w, targets).select("name", "ok")
 

@@ -16,13 +16,13 @@ from tracelake.plans.base import ENT, G, LABEL, RE, RUNS, WN, f32, spray_runs, t
 KEYS = ["run_id", "start_ns"]
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.window_features(trace_events(spark, sf_dir), G)
+def _features(spark: SparkSession, sf_dir: str, features: list[str] | None = None, top_task: bool = True) -> DataFrame:
+    return O.window_features(trace_events(spark, sf_dir), G, features, top_task)
 
 
 def _pick(*counts: str, numbers: tuple[str, ...] = (), plain: tuple[str, ...] = ()):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = _features(spark, sf_dir)
+        f = _features(spark, sf_dir, [*counts, *numbers], bool(plain))
         return f.select(*KEYS, *plain, *[F.col(c).cast("long").alias(c) for c in counts], *[F.round(F.col(c).cast("double"), 4).alias(c) for c in numbers])
 
     return run
@@ -58,7 +58,7 @@ def label_histogram(spark, sf_dir):
 
 
 def run_empty_ratio(spark, sf_dir):
-    return O.empty_ratio(_features(spark, sf_dir)).select("run_id", "n_windows", F.round("empty_ratio", 6).alias("empty_ratio"))
+    return O.empty_ratio(_features(spark, sf_dir, ["is_empty"], False)).select("run_id", "n_windows", F.round("empty_ratio", 6).alias("empty_ratio"))
 
 
 def run_ghosts(spark, sf_dir):

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tracelake.llm.common import ascii_lower, byte_chunks, free_name, rolling, span_hash, table, text_of, utf8, word_spans
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 32 << 20
 
 _FOLD = ascii_lower()

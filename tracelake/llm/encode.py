@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO = 1_000_000
+MEMO = 650_000
 LONGEST = 48
 #: White space of any kind and signs that vocabularies join with a space.
 _UNSAFE = "\\s\u2581\u180e\u200b\ufeff"

@@ -31,11 +31,31 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
-    path = work_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut and lost executors cost nothing.
+
+    What was shuffled for it is not needed once it is written.
+    """
+    spark, path = df.sparkSession, work_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP_KEY, None)
+    try:
+        spark.conf.set(CLEANUP_KEY, "true")
+        df.select("*").write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP_KEY) if before is None else spark.conf.set(CLEANUP_KEY, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``materialise`` wrote, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(col: str = "text"):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import ascii_lower, byte_chunks, materialise, mix64, rolling, span_hash, table, text_of, utf8, word_spans
+from tracelake.llm.common import ascii_lower, byte_chunks, discard, materialise, mix64, rolling, span_hash, table, text_of, utf8, word_spans
 
 BATCH_BYTES = 4 << 20
 SKETCH_WORDS = 8
@@ -243,67 +243,79 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _cross(num: int, den: int, sparse: bool):
-    """Candidate pairs of sorted rows (key, i, j, side, id, comp, n, f1, sketch, tested): of different components, not ruled out by
-    the Hamming bound, not tested yet; with ``sparse`` the best of each document in each other component."""
-
-    def pairs_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, n, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "n", "side"))
-        bits = rows.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), SKETCH_WORDS)
-        tested = {x: set(t) for x, t in zip(ids.tolist(), rows.column("tested").to_pylist()) if t}
-        whole = bool(rows.column("i")[0].as_py() == rows.column("j")[0].as_py())
-        out_a, out_b = [], []
-        step = max(1, (1 << 20) // max(1, len(ids)))
-        for at in range(0, len(ids), step):
-            part = slice(at, at + step)
-            distance = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int64)
-            sizes = n[part, None] + n[None, :]
-            good = (distance * (den + num) <= sizes * (den - num)) & (comp[part, None] != comp[None, :])
-            good &= np.minimum(n[part, None], n[None, :]) * den >= np.maximum(n[part, None], n[None, :]) * num
-            if not whole:
-                good &= side[part, None] != side[None, :]
-            x, y = np.nonzero(good)
-            if not len(x):
-                continue
-            d, x = distance[x, y], x + at
-            if tested:
-                keep = np.array([q not in tested.get(p, ()) and p not in tested.get(q, ()) for p, q in zip(ids[x].tolist(), ids[y].tolist())], bool)
-                d, x, y = d[keep], x[keep], y[keep]
-            if sparse:
-                order = np.lexsort((ids[y], d, comp[y], x))
-                x, y = x[order], y[order]
-                lead = np.ones(len(x), bool)
-                lead[1:] = (x[1:] != x[:-1]) | (comp[y[1:]] != comp[y[:-1]])
-                x, y = x[lead], y[lead]
-            out_a.append(np.minimum(ids[x], ids[y]))
-            out_b.append(np.maximum(ids[x], ids[y]))
-        if not out_a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-        return both[0], both[1]
+    """Candidate pairs of sorted rows (key, i, j, side, id, comp, n, sketch, tested): of different components, not ruled out by
+    the Hamming bound, not tested yet; with ``sparse`` the best of each document in each other component. Emits (key, a, b)."""
+
+    def pairs_of(key, rows: dict, tested: dict, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Groups of rows cut[k]..cut[k + 1]; pairs are made in slices of bounded size, row by row with its successors."""
+        ids, comp, n, side, whole, bits = (rows[c] for c in ("id", "comp", "n", "side", "whole", "sketch"))
+        ends = np.repeat(cut[1:], np.diff(cut))
+        many = ends - np.arange(len(ids)) - 1
+        total = np.concatenate([[0], np.cumsum(many)])
+        at = 0
+        parts: list[tuple] = []
+        while at < len(ids):
+            stop = min(len(ids), max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), "right")) - 1))
+            x = np.repeat(np.arange(at, stop), many[at:stop])
+            y = x + 1 + np.arange(len(x)) - np.repeat(total[at:stop] - total[at], many[at:stop])
+            good = (comp[x] != comp[y]) & (whole[x] | (side[x] != side[y]))
+            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            good &= low * den >= high * num
+            x, y = x[good], y[good]
+            d = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            good = d * (den + num) <= (n[x] + n[y]) * (den - num)
+            parts.append((x[good], y[good], d[good]))
+            at = stop
+        x, y, d = (np.concatenate(c) for c in zip(*parts))
+        if tested and len(x):
+            keep = np.array([q not in tested.get(p, ()) and p not in tested.get(q, ()) for p, q in zip(ids[x].tolist(), ids[y].tolist())], bool)
+            x, y, d = x[keep], y[keep], d[keep]
+        if not len(x):
+            return
+        if sparse:
+            x, y, d = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([d, d])
+            order = np.lexsort((ids[y], d, comp[y], x))
+            x, y = x[order], y[order]
+            lead = np.ones(len(x), bool)
+            lead[1:] = (x[1:] != x[:-1]) | (comp[y[1:]] != comp[y[:-1]])
+            x, y = x[lead], y[lead]
+        a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
+        waiting: list[pa.RecordBatch] = []  # whole groups wait here, with the beginning of the last one
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-            a, b = pairs_of(rows)
+            get = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "id", "comp", "n", "side")}
+            fresh = np.ones(rows.num_rows, bool)
+            fresh[1:] = (get["key"][1:] != get["key"][:-1]) | (get["i"][1:] != get["i"][:-1]) | (get["j"][1:] != get["j"][:-1])
+            cut = np.append(np.flatnonzero(fresh), rows.num_rows)
+            end = rows.num_rows if final else int(cut[-2])
             waiting.clear()
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        now = None
+            if end < rows.num_rows:
+                waiting.append(rows.slice(end))
+            if not end:
+                return
+            own = {c: v[:end] for c, v in get.items()}
+            own["whole"] = own["i"] == own["j"]
+            own["sketch"] = rows.column("sketch").slice(0, end).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(end, SKETCH_WORDS)
+            tested: dict = {}
+            known = rows.column("tested").slice(0, end)
+            if known.null_count < end:
+                tested = {p: set(t) for p, t in zip(own["id"].tolist(), known.to_pylist()) if t}
+            yield from pairs_of(own["key"], own, tested, cut[cut <= end])
+
+        size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")], 1)
-            cut = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1, [len(marks)]])
-            for p, q in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if waiting and now != tuple(marks[p]):
-                    yield from flush()
-                now = tuple(marks[p])
-                waiting.append(batch.slice(p, q - p))
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.num_rows
+                if size >= 50_000:
+                    yield from flush(False)
+                    size = sum(w.num_rows for w in waiting) // 2  # a long group is not cut again at once
         if waiting:
-            yield from flush()
+            yield from flush(True)
 
     return run
 
@@ -313,9 +325,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     signed = materialise(signatures(texts, n, num, den), "jaccard-signatures")
-    meta = signed.select("id", "n", "f1", "f2", "sketch")
+    meta = materialise(signed.select("id", "n", "f1", "f2", "sketch"), "jaccard-sets")
     rows = signed.filter("id is not null").select(F.explode("keys").alias("key"), "id")
     shared = materialise(shared_keys(rows), "jaccard-shared")
+    discard(signed)
 
     # each document against its best hub
     info = meta.filter("id is not null").dropDuplicates(["id"])
@@ -331,25 +344,28 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = components(links)
 
     # groups that are still in several components
-    turn = 0
+    turn, active = 0, shared.select("key", "id")
     while True:
         turn += 1
-        placed = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+        placed = active.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g")).filter("low <> high").select("key", "g")
         mixed = materialise(mixed, "jaccard-mixed")
         if not mixed.limit(1).count():
             break
         refuted = tested.select(F.col("a").alias("id"), F.col("b").alias("other")).union(tested.select("b", "a")).groupBy("id").agg(F.collect_set("other").alias("tested"))
-        open_rows = placed.join(mixed, "key").join(info.select("id", "n", "f1", "sketch"), "id").join(refuted, "id", "left")
+        open_rows = placed.join(mixed, "key").join(info.select("id", "n", "sketch"), "id").join(refuted, "id", "left")
         blocks = F.ceil(F.col("g") / BLOCK_ROWS).cast("int")
         own = F.pmod(F.xxhash64("id"), blocks).cast("int")
         open_rows = open_rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        open_rows = open_rows.select("key", F.least("side", "other").cast("long").alias("i"), F.greatest("side", "other").cast("long").alias("j"), "side", "id", "comp", "n", "sketch", F.coalesce("tested", F.array().cast("array<long>")).alias("tested"))
+        open_rows = open_rows.select("key", F.least("side", "other").cast("long").alias("i"), F.greatest("side", "other").cast("long").alias("j"), "side", "id", "comp", "n", "sketch", "tested")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = open_rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_cross(num, den, turn <= SPARSE_ROUNDS), "a long, b long")
-        pairs = materialise(found.distinct(), "jaccard-pairs")
+        found = open_rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_cross(num, den, turn <= SPARSE_ROUNDS), "key long, a long, b long")
+        found = materialise(found, "jaccard-found")
+        pairs = materialise(found.select("a", "b").distinct(), "jaccard-pairs")
         if not pairs.limit(1).count():
             break
+        # a group without a candidate can have none later: components only merge, and tested pairs only grow
+        active = materialise(active.join(found.select("key").distinct(), "key", "left_semi"), "jaccard-active")
         checked = materialise(verified(pairs, texts, n, num, den), "jaccard-checked")
         fresh = checked.filter("linked").select("a", "b")
         tested = tested.union(checked.filter("not linked").select("a", "b"))

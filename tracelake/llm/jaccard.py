@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import ascii_lower, byte_chunks, discard, materialise, mix64, rolling, span_hash, table, text_of, utf8, word_spans
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 SKETCH_WORDS = 8
 #: Sketches of a group that one task compares with each other or with another such block.
 BLOCK_ROWS = 8192

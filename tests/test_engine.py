@@ -300,9 +300,8 @@ def test_streaming_resolution_equals_the_batch(spark, tmp_path):
     e = events(spark, rows).coalesce(1)
     e.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
-    q = resolve_stream(stream).writeStream.format("memory").queryName("resolved").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = resolve_stream(stream).writeStream.format("memory").queryName("resolved").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     cols = ["seq", "size_resolved", "resolved_bytes_alloc", "object_lifetime_ns", "reclaim_from_free", "reclaim_cross_site"]
     want = resolve.resolve(e).select(*cols)
     assert sorted(map(str, spark.table("resolved").select(*cols).collect())) == sorted(map(str, want.collect()))

@@ -15,12 +15,15 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO = 650_000
+MEMO = 1_000_000
 LONGEST = 48
 #: White space of any kind and signs that vocabularies join with a space.
 _UNSAFE = "\\s\u2581\u180e\u200b\ufeff"
 _SAFE = re.compile(f"(?<=[^{_UNSAFE}]) (?=[^{_UNSAFE}])")
 
+#: A comma or full stop between an ASCII letter and a space.
+_MARK = re.compile(r"[,.](?<=[A-Za-z][,.])(?= )")
+
 
 def pieces(text: str) -> list[str]:
     """``text`` split at its safe spaces; each space belongs to the piece after it and is left out.
@@ -38,7 +41,9 @@ def pieces(text: str) -> list[str]:
 class Encoder:
     """Looks up what ``encode`` returns for pieces; ``first`` and later pieces are kept apart."""
 
-    def __init__(self, encode_first, encode_later, memo: int = MEMO):
+    def __init__(self, encode_first, encode_later, memo: int = MEMO, apart: bool = False):
+        """``apart``: spaces leave no trace in the ids, so a mark after a letter may be set apart by one."""
+        self._apart = apart
         self._encode = (encode_first, encode_later)
         self._known: tuple[dict, dict] = ({}, {})
         self._memo = memo
@@ -59,6 +64,8 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[list]:
         """For each text, what its pieces encode to, in turn."""
+        if self._apart:
+            texts = [_MARK.sub(r" \g<0>", t) for t in texts]
         split = [pieces(t) for t in texts]
         first = self._lookup([p[0] for p in split], 0)
         later = self._lookup([w for p in split for w in p[1:]], 1)
@@ -90,7 +97,7 @@ def id_encoder(path: str, keeps_space: bool) -> Encoder:
     def encode(words: list[str]) -> list[bytes]:
         return [_little(e.ids) for e in library.encode_batch_fast(words, add_special_tokens=False)]
 
-    return Encoder(encode, (lambda words: encode([f" {w}" for w in words])) if keeps_space else encode)
+    return Encoder(encode, (lambda words: encode([f" {w}" for w in words])) if keeps_space else encode, apart=not keeps_space)
 
 
 @lru_cache(maxsize=4)

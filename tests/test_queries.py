@@ -25,9 +25,16 @@ def duck():
 
 
 def rows(frame):
+    import numpy as np
     import pandas as pd
 
-    text = lambda v: "null" if pd.isna(v) else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    def text(v):
+        if pd.isna(v):
+            return "null"
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
+        return repr(float(v)) if isinstance(v, (int, float, np.number)) else str(v)
+
     return sorted(tuple(map(text, r)) for r in frame.itertuples(index=False))
 
 

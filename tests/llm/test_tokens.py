@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracelake.llm import packing, token_counts, token_output
+from tracelake.llm import encode, packing, token_counts, token_output
 from tracelake.llm.common import work_path
 
 ODD = [
@@ -57,6 +57,22 @@ def test_output_round_trip_and_pruning(spark, docs):
     assert token_output.read_token_ids(spark, target, low=3, high=5).count() == 3
 
 
+@pytest.mark.parametrize("name,keeps_space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+@pytest.mark.parametrize("memo", [6, 800_000])
+def test_encoder_gives_the_ids_of_the_library(name, keeps_space, memo):
+    parts = [
+        "'s", "'S", "\u03a3", "\u0391\u03a3", "\u0130", "\u0130$", "\u00e9", "e\u0301", "\u0301", "<|endoftext|>", "<|EndOfText|>", "<", "|", "\u00d7.", "\u00f7.", "\t", "\r",
+        "\u00a0", "\u200b", "\u1c80", "a", "The", "foo.", "x$$$", "A.B", "9", "12,", "e\u0338", "<\u0338", "\ufb01", "\x1c", "\x85", "\u00df", "\u1e9e", "_", "\u4f60", "\ud55c", "\u1112\u1161", "don't", "a)", "",
+    ]
+    rng = np.random.default_rng(3)
+    texts = ["".join(parts[rng.integers(len(parts))] + ["", " ", " ", "\n", "  "][rng.integers(5)] for _ in range(rng.integers(25))) for _ in range(3000)]
+    encoder = encode.id_encoder(path(name), keeps_space)
+    encoder = encode.Encoder(*encoder._encode, memo=memo, split=encoder._split)
+    library = Tokenizer.from_file(path(name))
+    got = [b"".join(x) for at in range(0, len(texts), 100) for x in encoder(texts[at : at + 100])]
+    assert got == [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("targets", [None, {"a": 0.8, "b": 0.1}])
 def test_packing(docs, targets):
     ids = ids_of("byte_bpe_50k.json", 0)

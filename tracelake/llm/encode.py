@@ -3,8 +3,12 @@
 A boundary before a single space is safe when neither neighbour of the space is white space (or another
 sign that a vocabulary can join with a space). There the byte-level, word-level and piece vocabularies
 all begin a new token, so the ids of a text are the ids of its pieces in turn. Texts with runs of white
-space are split at the safe places only. A worker remembers the ids of short pieces up to ``MEMO`` of
-them; the library encodes every piece that is not remembered.
+space are split at the safe places only. A vocabulary that drops white space is split at every space and
+line end, and marks that follow a letter and end a word are set apart.
+
+A worker remembers the ids of short pieces, ``MEMO`` of them at most; when half of these are new, the older
+half goes. The library encodes what is not remembered: plain pieces joined by spaces in one call, whose ids
+are told apart by the signs for word ends or starts, and all others one by one.
 """
 
 from __future__ import annotations
@@ -15,14 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO = 1_000_000
+MEMO = 800_000
 LONGEST = 48
 #: White space of any kind and signs that vocabularies join with a space.
 _UNSAFE = "\\s\u2581\u180e\u200b\ufeff"
 _SAFE = re.compile(f"(?<=[^{_UNSAFE}]) (?=[^{_UNSAFE}])")
 
-#: A comma or full stop between an ASCII letter and a space.
-_MARK = re.compile(r"[,.](?<=[A-Za-z][,.])(?= )")
+#: Marks between a Latin letter and the end of a word: a token of their own where white space is dropped.
+_MARKS = re.compile(r"[.,;:!?#$%*&)\]\"](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f].)[.,;:!?#$%*&)\]\"]*(?![^ \n])")
 
 
 def pieces(text: str) -> list[str]:
@@ -38,49 +42,80 @@ def pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
+def words(text: str) -> list[str]:
+    """``text`` split for a vocabulary that lower-cases and drops white space; empty words have no ids.
+
+    In texts of the first 256 code points A-Z are lower-cased here (as the library does), unless they could
+    then hold a special string that they do not hold now.
+    """
+    if "<|" not in text:
+        try:
+            text = text.encode("latin-1").lower().decode("latin-1")
+        except UnicodeEncodeError:
+            pass
+    return _MARKS.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+
+
 class Encoder:
     """Looks up what ``encode`` returns for pieces; ``first`` and later pieces are kept apart."""
 
-    def __init__(self, encode_first, encode_later, memo: int = MEMO, apart: bool = False):
-        """``apart``: spaces leave no trace in the ids, so a mark after a letter may be set apart by one."""
-        self._apart = apart
+    def __init__(self, encode_first, encode_later, memo: int = MEMO, split=pieces):
+        self._split = split
         self._encode = (encode_first, encode_later)
         self._known: tuple[dict, dict] = ({}, {})
+        self._older: tuple[dict, dict] = ({}, {})
         self._memo = memo
 
-    def _lookup(self, words: list[str], kind: int) -> list:
-        known = self._known[kind]
-        out = list(map(known.get, words))
-        if None not in out:
-            return out
-        missing = list({w for w, v in zip(words, out) if v is None})
-        fresh = dict(zip(missing, self._encode[kind](missing)))
+    def _table(self, words: set[str], kind: int) -> dict:
+        """What each of ``words`` encodes to; the words of one batch, so of bounded size."""
+        known, older = self._known[kind], self._older[kind]
+        table = {w: v for w in words if (v := known.get(w)) is not None}
+        if len(table) == len(words):
+            return table
+        fresh = {w: older.get(w) for w in words if w not in table}
+        missing = [w for w, v in fresh.items() if v is None]
+        if missing:
+            fresh.update(zip(missing, self._encode[kind](missing)))
+        table.update(fresh)
         short = {w: v for w, v in fresh.items() if len(w) <= LONGEST}
-        if len(known) + len(short) > self._memo:
+        if len(known) + len(short) > self._memo // 2:
+            older.clear()
+            older.update(known)
             known.clear()
-        if len(short) <= self._memo:
+        if len(short) <= self._memo // 2:
             known.update(short)
-        return [fresh[w] if v is None else v for w, v in zip(words, out)]
+        return table
 
     def __call__(self, texts: list[str]) -> list[list]:
         """For each text, what its pieces encode to, in turn."""
-        if self._apart:
-            texts = [_MARK.sub(r" \g<0>", t) for t in texts]
-        split = [pieces(t) for t in texts]
-        first = self._lookup([p[0] for p in split], 0)
-        later = self._lookup([w for p in split for w in p[1:]], 1)
-        out, at = [], 0
-        for head, p in zip(first, split):
-            n = len(p) - 1
-            out.append([head, *later[at : at + n]])
-            at += n
-        return out
+        split = [self._split(t) for t in texts]
+        if self._encode[0] is self._encode[1]:
+            at = self._table(set().union(*split), 1).__getitem__
+            return [list(map(at, p)) for p in split]
+        heads = [p.pop(0) for p in split]
+        first = self._table(set(heads), 0)
+        at = self._table(set().union(*split), 1).__getitem__
+        return [[first[h], *map(at, p)] for h, p in zip(heads, split)]
 
 
 def _little(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+#: Signs of the vocabularies for a word's end and for the space before a word.
+WORD_END, SPACE = "</w>", "\u0120"
+
+
+def _joins_as_word(word: str) -> bool:
+    """A run of letters has at least one token that ends a word."""
+    return word.isalpha()
+
+
+def _joins_as_piece(piece: str) -> bool:
+    """After a space, the piece has exactly one token that begins with the sign for it."""
+    return piece != "" and " " not in piece and "<|" not in piece and piece[0].isprintable() and piece[-1].isprintable()
+
+
 @lru_cache(maxsize=4)
 def id_encoder(path: str, keeps_space: bool) -> Encoder:
     """Pieces to ids (little-endian unsigned 32-bit bytes) by a ``tokenizers`` file.
@@ -93,11 +128,31 @@ def id_encoder(path: str, keeps_space: bool) -> Encoder:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
+    edge = np.zeros(library.get_vocab_size(), bool)
+    edge[[i for token, i in library.get_vocab().items() if (token.startswith(SPACE) if keeps_space else token.endswith(WORD_END))]] = True
+    space, joins = (" ", _joins_as_piece) if keeps_space else ("", _joins_as_word)
 
     def encode(words: list[str]) -> list[bytes]:
         return [_little(e.ids) for e in library.encode_batch_fast(words, add_special_tokens=False)]
 
-    return Encoder(encode, (lambda words: encode([f" {w}" for w in words])) if keeps_space else encode, apart=not keeps_space)
+    def encode_joined(words: list[str]) -> list[bytes]:
+        """``encode`` of plain words in one call; word by word should their number not come out."""
+        ids = np.asarray(library.encode_batch_fast([space + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(edge[ids]) * 4
+        if len(at) != len(words):
+            return encode([space + w for w in words])
+        raw = ids.tobytes()
+        bounds = [*at.tolist(), len(raw)] if keeps_space else [0, *(at + 4).tolist()]
+        return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+    def encode_later(words: list[str]) -> list[bytes]:
+        plain = [w for w in words if joins(w)]
+        found = dict(zip(plain, encode_joined(plain))) if plain else {}
+        other = [w for w in words if w not in found]
+        found.update(zip(other, encode([space + w for w in other])))
+        return [found[w] for w in words]
+
+    return Encoder(encode if keeps_space else encode_later, encode_later, split=pieces if keeps_space else words)
 
 
 @lru_cache(maxsize=4)

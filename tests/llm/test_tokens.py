@@ -62,10 +62,11 @@ def test_output_round_trip_and_pruning(spark, docs):
 def test_encoder_gives_the_ids_of_the_library(name, keeps_space, memo):
     parts = [
         "'s", "'S", "\u03a3", "\u0391\u03a3", "\u0130", "\u0130$", "\u00e9", "e\u0301", "\u0301", "<|endoftext|>", "<|EndOfText|>", "<", "|", "\u00d7.", "\u00f7.", "\t", "\r",
-        "\u00a0", "\u200b", "\u1c80", "a", "The", "foo.", "x$$$", "A.B", "9", "12,", "e\u0338", "<\u0338", "\ufb01", "\x1c", "\x85", "\u00df", "\u1e9e", "_", "\u4f60", "\ud55c", "\u1112\u1161", "don't", "a)", "",
+        "\u00a0", "\u200b", "\u1c80", "a", "The", "foo.", "x$$$", "A.B", "9", "12,", "e\u0338", "<\u0338", "\ufb01", "\x1c", "\x85", "\u00df", "\u1e9e", "_", "\u4f60", "\ud55c", "\u1112\u1161", "don't", "a)", "", "\x00",
     ]
     rng = np.random.default_rng(3)
     texts = ["".join(parts[rng.integers(len(parts))] + ["", " ", " ", "\n", "  "][rng.integers(5)] for _ in range(rng.integers(25))) for _ in range(3000)]
+    texts += [" ".join(["One.", "two,\nThree", "four!?", "a\n\nb.", "'s.", "x\n'll", "e\n", "<|endoftext|>\nB", "b.\n<|endoftext|>"][k] for k in rng.integers(9, size=4)) for _ in range(500)]
     encoder = encode.id_encoder(path(name), keeps_space)
     encoder = encode.Encoder(*encoder._encode, memo=memo, split=encoder._split)
     library = Tokenizer.from_file(path(name))

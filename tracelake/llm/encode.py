@@ -4,7 +4,7 @@ A boundary before a single space is safe when neither neighbour of the space is
 sign that a vocabulary can join with a space). There the byte-level, word-level and piece vocabularies
 all begin a new token, so the ids of a text are the ids of its pieces in turn. Texts with runs of white
 space are split at the safe places only. A vocabulary that drops white space is split at every space and
-line end, and marks that follow a letter and end a word are set apart.
+line end. Marks that follow a letter and end a word are set apart.
 
 A worker remembers the ids of short pieces, ``MEMO`` of them at most; when half of these are new, the older
 half goes. The library encodes what is not remembered: plain pieces joined by spaces in one call, whose ids
@@ -29,17 +29,32 @@ _SAFE = re.compile(f"(?<=[^{_UNSAFE}]) (?=[^{_UNSAFE}])")
 _MARKS = re.compile(r"[.,;:!?#$%*&)\]\"](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f].)[.,;:!?#$%*&)\]\"]*(?![^ \n])")
 
 
-def pieces(text: str) -> list[str]:
-    """``text`` split at its safe spaces; each space belongs to the piece after it and is left out.
+#: A line end between two other signs; the sign that a piece follows its predecessor without a space.
+_LINE_END = re.compile(r"(?<=[^\n])\n(?=[^\n])")
+TIGHT = "\0"
 
-    The quick test lets printable signs, single spaces and line ends through, whose every space is safe.
-    """
-    if (
+
+def _plain(text: str) -> bool:
+    """Whether every space of ``text`` is safe: printable signs, single spaces and line ends away from spaces."""
+    return not (
         "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
         or "\u2581" in text or not text.replace("\n", "").isprintable()
-    ):
+    )
+
+
+def pieces(text: str) -> list[str]:
+    """``text`` split at its safe spaces; each space belongs to the piece after it and is left out."""
+    return text.split(" ") if _plain(text) else _SAFE.split(text)
+
+
+def tight_pieces(text: str) -> list[str]:
+    """``pieces`` for a byte-level vocabulary: marks that end a word and single line ends are pieces that begin
+    with ``TIGHT``, and so is what follows such a line end. A text that holds this sign itself is one piece."""
+    if TIGHT in text:
+        return [text]
+    if not _plain(text):
         return _SAFE.split(text)
-    return text.split(" ")
+    return _LINE_END.sub(f" {TIGHT}\n {TIGHT}", _MARKS.sub(rf" {TIGHT}\g<0>", text)).split(" ")
 
 
 def words(text: str) -> list[str]:
@@ -116,11 +131,11 @@ def _joins_as_piece(piece: str) -> bool:
     return piece != "" and " " not in piece and "<|" not in piece and piece[0].isprintable() and piece[-1].isprintable()
 
 
-@lru_cache(maxsize=4)
-def id_encoder(path: str, keeps_space: bool) -> Encoder:
+@lru_cache(maxsize=1)
+def id_encoder(path: str, keeps_space: bool, memo: int = MEMO) -> Encoder:
     """Pieces to ids (little-endian unsigned 32-bit bytes) by a ``tokenizers`` file.
 
-    ``keeps_space``: whether the space before a piece is part of its first token.
+    ``keeps_space``: whether the space before a piece is part of its first token. A worker keeps one encoder.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -149,10 +164,10 @@ def id_encoder(path: str, keeps_space: bool) -> Encoder:
         plain = [w for w in words if joins(w)]
         found = dict(zip(plain, encode_joined(plain))) if plain else {}
         other = [w for w in words if w not in found]
-        found.update(zip(other, encode([space + w for w in other])))
+        found.update(zip(other, encode([w[1:] if keeps_space and w[:1] == TIGHT else space + w for w in other])))
         return [found[w] for w in words]
 
-    return Encoder(encode if keeps_space else encode_later, encode_later, split=pieces if keeps_space else words)
+    return Encoder(encode if keeps_space else encode_later, encode_later, memo, split=tight_pieces if keeps_space else words)
 
 
 @lru_cache(maxsize=4)
@@ -172,4 +187,4 @@ def length_encoder(path: str) -> Encoder:
 def id_length_encoder(path: str, keeps_space: bool) -> Encoder:
     """Pieces to token counts by a ``tokenizers`` file."""
     ids = id_encoder(path, keeps_space)
-    return Encoder(*((lambda words, e=e: [len(b) // 4 for b in e(words)]) for e in ids._encode))
+    return Encoder(*((lambda words, e=e: [len(b) // 4 for b in e(words)]) for e in ids._encode), split=ids._split)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import byte_chunks, materialise, table, text_of
-from tracelake.llm.encode import id_encoder
+from tracelake.llm.encode import MEMO, id_encoder
 
 BATCH_BYTES = 2 << 20
 LENGTH = 1024
@@ -40,13 +40,13 @@ BROADCAST_ROWS = 200_000
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long"
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, keeps_space: bool = True) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int, keeps_space: bool = True, memo: int = MEMO) -> DataFrame:
     """doc_id, source, part, local_start (tokens of the source before it in the partition), n_tokens, ids (binary)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = id_encoder(path, keeps_space), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = id_encoder(path, keeps_space, memo), np.asarray([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), {}
         for chunk in byte_chunks(batches, "text", BATCH_BYTES):
             sources, each, sizes, starts = chunk.column("source").to_pylist(), [], [], []
@@ -149,13 +149,14 @@ class Plan:
             g, n = g + many, n - many
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, targets: dict | None = None, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, targets: dict | None = None, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """One row for each piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, window_id (and ids).
 
     ``targets``: source -> proportion of tokens; None: the sources' own proportions, so that all queues end together.
+    ``memo``: pieces that a Python worker remembers; workers outlive the stage, so it also bounds what later stages find taken.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    tokens = materialise(tokenised(rows, path, end_id), "packing-tokens")
+    tokens = materialise(tokenised(rows, path, end_id, memo=memo), "packing-tokens")
     sums = materialise(tokens.groupBy("part", "source").agg(F.sum("n_tokens").alias("n")), "packing-sums")
     totals = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row a source
     plan = Plan(totals, targets, window, length)

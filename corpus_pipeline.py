@@ -14,6 +14,8 @@ from tracelake.llm import decontaminate, jaccard, packing, pii, quality
 from tracelake.llm.common import materialise, table
 
 PACKING_TOKENIZER = "byte_bpe_50k.json"
+#: Pieces that a worker remembers; other stages share the executors' memory with it.
+PACKING_MEMO = 300_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed by source."""
-    return packing.pack(docs, public_tokenizers.path(PACKING_TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(PACKING_TOKENIZER), memo=PACKING_MEMO)
 
 
 STAGES = [

@@ -194,7 +194,11 @@ def byte_chunks_of_ids(batches: Iterator[pa.RecordBatch], rows: int = 500) -> It
             yield batch.slice(at, rows)
 
 
+#: Pieces remembered where packing has the executors to itself.
+PACKING_MEMO = 1_600_000
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), memo=PACKING_MEMO)

@@ -146,6 +146,17 @@ def test_site_quality_is_accurate_and_shrinks(spark):
     assert site_quality.score(df.limit(0), lab).count() == 0
 
 
+def test_a_path_without_labels_has_its_hosts_posterior(spark):
+    rows = [(i, "a", f"h{i % 4}", f"p{i // 4 % 5}") for i in range(400)] + [(1000 + i, "a", h, p) for i, (h, p) in enumerate([("h0", "new"), ("h1", "new"), ("h0", None), (None, "p0"), ("other", "p0")])]
+    labels = [(i, int(i % 4 > 0), 0) for i in range(400)]
+    out = {r.doc_id: r for r in site_quality.score(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert len(out) == len(rows)
+    top = (300 + 0.5) / (400 + 1)
+    assert out[1000].quality_site < 0.1 < 0.9 < out[1001].quality_site and out[1002].quality_site == out[1000].quality_site
+    assert out[1000].quality_posterior < out[1003].quality_posterior < out[1001].quality_posterior
+    assert out[1003].quality_site == out[1004].quality_site == pytest.approx(top)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

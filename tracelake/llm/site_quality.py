@@ -96,15 +96,16 @@ def _strength(rows: DataFrame, yes: str, rate) -> float:
     return min(1e6, max(1.0, 1 / excess - 1)) if excess > 0 else 1e6
 
 
-def site_rates(sites: DataFrame, target: str) -> tuple[DataFrame, float]:
-    """(host, path, rate) of every labelled site and the global rate; ``sites``: host, path, target of labelled rows."""
+def site_rates(sites: DataFrame, target: str) -> tuple[DataFrame, DataFrame, float]:
+    """(host, path, rate) of every labelled path, (h, host_rate) of every labelled host and the global rate; ``sites``: host, path, target of labelled rows."""
     by_path = materialise(sites.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(target).alias("yes")), "site-paths")
     whole = by_path.agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).first()
     top = (whole["yes"] + 0.5) / (whole["n"] + 1) if whole["n"] else 0.5
     by_host = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
     hosts = _shrunk(by_host.withColumn("top", F.lit(top)), ["host"], "yes", "top", _strength(by_host, "yes", F.lit(top)), "host_rate").select(F.col("host").alias("h"), "host_rate")
+    hosts = materialise(hosts, "site-host-rates")
     paths = materialise(by_path.join(hosts, F.col("host").eqNullSafe(F.col("h"))), "site-hosts")
-    return _shrunk(paths, ["host", "path"], "yes", "host_rate", _strength(paths, "yes", F.col("host_rate")), "rate").select("host", "path", "host_rate", "rate"), top
+    return _shrunk(paths, ["host", "path"], "yes", "host_rate", _strength(paths, "yes", F.col("host_rate")), "rate").select("host", "path", "rate"), hosts, top
 
 
 def score(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", features_kept: int = FEATURES) -> DataFrame:
@@ -132,11 +133,15 @@ def score(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quali
     labelled = rows.select("id", "host", "path").join(voted, "id")
     columns = [F.col("id").alias(id_col)]
     for k, t in enumerate(targets):
-        rates, top = site_rates(labelled.filter(F.col(t).isNotNull()).select("host", "path", t), t)
+        rates, hosts, top = site_rates(labelled.filter(F.col(t).isNotNull()).select("host", "path", t), t)
         rates = rates.select(F.col("host").alias(f"h{k}"), F.col("path").alias(f"p{k}"), F.col("rate").alias(f"rate{k}"))
         rates = F.broadcast(rates) if rates.count() <= BROADCAST_SITES else rates
         found = found.join(rates, F.col("host").eqNullSafe(F.col(f"h{k}")) & F.col("path").eqNullSafe(F.col(f"p{k}")), "left")
-        rate = F.coalesce(F.col(f"rate{k}"), F.lit(top))
+        hosts = hosts.select(F.col("h").alias(f"hh{k}"), F.col("host_rate").alias(f"host_rate{k}"))
+        hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_SITES else hosts
+        found = found.join(hosts, F.col("host").eqNullSafe(F.col(f"hh{k}")), "left")
+        # a path without labels has its host's posterior
+        rate = F.coalesce(F.col(f"rate{k}"), F.col(f"host_rate{k}"), F.lit(top))
         logit = lambda p: F.ln(p / (1 - p))
         shift = logit(F.least(F.greatest(rate, F.lit(1e-6)), F.lit(1 - 1e-6))) - math.log(top / (1 - top))
         columns += [F.col(f"e{k}").alias(f"{t}_evidence"), rate.alias(f"{t}_site"), (1 / (1 + F.exp(-(F.col(f"e{k}") + shift)))).alias(f"{t}_posterior")]

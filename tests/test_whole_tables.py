@@ -26,3 +26,19 @@ def test_marker_intervals_judge_every_marker(spark):
         want[run] = (sound and depth == 0, own[0][0], own[-1][0], "SPRAY_START" if own[-1][1] else "SPRAY_END")
     got = {r.run_id: (r.ok, r.start_ns, r.end_ns, r.last_name) for r in engine.QUERIES["marker_intervals"](spark, SF).collect()}
     assert got == want
+
+
+def test_detectors_see_whole_vectors(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 24)).astype(np.float32)
+    x[0, 20] = 40  # strange beyond the first numbers alone
+    rows = [(i, [float(v) for v in r], 9 if i == 0 else i % 5) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    z = {r.vec_id: r.score for r in engine.QUERIES["zscore_detector"](spark, str(tmp_path)).collect()}
+    own = x.astype(float)
+    want = (((own - own[1:].mean(0)) / own[1:].std(0)) ** 2).mean(1)
+    assert [z[i] for i in range(600)] == pytest.approx(want.tolist(), abs=2e-5)
+    svm = {r.vec_id: r.score for r in engine.QUERIES["ocsvm_detector"](spark, str(tmp_path)).collect()}
+    assert max(z, key=z.get) == max(svm, key=svm.get) == 0

@@ -253,19 +253,20 @@ def scalar_buckets(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
+    """vec_id, label and a column for each number of the longest embedding; the names of these."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)])
+    cols = [f"x{i}" for i in range(max(1, e.agg(F.max(F.size("embedding"))).first()[0] or 0))]
+    return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)]), cols
 
 
 def zscore_detector(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    cols = [f"x{i}" for i in range(8)]
+    v, cols = _vectors(spark, sf_dir)
     return MODELS["zscore"]().fit(v.filter("label < 5"), cols).anomaly_score(v).select("vec_id", F.round("score", 5).alias("score"))
 
 
 def ocsvm_detector(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return MODELS["ocsvm"](rounds=2000, fit_rows=400).fit(v.filter("label < 5"), [f"x{i}" for i in range(8)]).anomaly_score(v).select("vec_id", "score")
+    v, cols = _vectors(spark, sf_dir)
+    return MODELS["ocsvm"]().fit(v.filter("label < 5"), cols).anomaly_score(v).select("vec_id", "score")
 
 
 def _normal_and_all(spark, sf_dir, item):

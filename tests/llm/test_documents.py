@@ -157,6 +157,26 @@ def test_a_path_without_labels_has_its_hosts_posterior(spark):
     assert out[1003].quality_site == out[1004].quality_site == pytest.approx(top)
 
 
+def test_every_feature_of_a_long_document_counts(spark):
+    rng = random.Random(8)
+    foul, clean, plain = ([f"{k}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)] for k in "fcp")
+    rows, labels = [], []
+    for i in range(1200):
+        t = i % 2
+        rows.append((i, " ".join(rng.sample(foul, 8 if t else 1) + rng.sample(clean[3:], 1 if t else 8) + rng.sample(plain, 10) + (clean[:3] if not t else [])), "h", "p"))
+        labels.append((i, 1, t))
+    long = " ".join(foul * 3 + clean[:3] + plain)  # dozens of foul words and the three strongest clean ones
+    rows += [(2000, long, "h", "p"), (2001, " ".join(clean + foul[:3] + plain), "h", "p")]
+    out = {r.doc_id: r for r in site_quality.score(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert out[2000].toxic_posterior > 0.9 and out[2001].toxic_posterior < 0.1
+    import numpy as np
+
+    bits, y = np.packbits(np.repeat([[0], [1]], 1000, 0).astype(bool), axis=1), np.tile([1, 0, 0, 0], 500).astype(float)
+    y[1000:] = 1 - y[1000:]
+    offset, w = site_quality.logistic(bits, y, 1, 0.0)
+    assert offset == pytest.approx(-1.0986, abs=0.02) and w[0] == pytest.approx(2.197, abs=0.03)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

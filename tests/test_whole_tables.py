@@ -81,3 +81,12 @@ def test_cross_family_split_has_every_role(spark):
         want["eval_normal"] += test * (cve == 1001)
     got = {r.role: r.n for r in engine.QUERIES["cross_family_split"](spark, SF).collect()}
     assert got == dict(want)
+
+
+def test_bootstrap_draws_every_resample(spark):
+    from tracelake.operators import metrics
+
+    got = engine.QUERIES["bootstrap_ci"](spark, SF).first()
+    scored = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    runs = scored.selectExpr("source", "1 - quality AS label", "double(n_chars) AS score").groupBy("source", "label").agg({"score": "max"}).withColumnRenamed("max(score)", "score")
+    assert 1800 < got.n_resamples <= 2000 and got == metrics.bootstrap_ci(runs, 20_000.0, rounds=2000).first()

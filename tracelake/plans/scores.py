@@ -110,7 +110,7 @@ def grouped_flags(spark, sf_dir):
 
 def bootstrap(spark, sf_dir):
     s = _scored(spark, sf_dir).groupBy("source", "label").agg(F.max("score").alias("score"))
-    return M.bootstrap_ci(s, 20_000.0, rounds=200)
+    return M.bootstrap_ci(s, 20_000.0)
 
 
 def calibration(spark, sf_dir):

@@ -86,6 +86,22 @@ def test_weak_supervision_adds_spans_and_redaction_keeps_the_rest(spark):
     assert not pii.train(pii.extracted(df.limit(0)), "cands").weights
 
 
+def test_long_secrets_are_whole_candidates(spark):
+    rng = random.Random(6)
+    token, key, letters = ("".join(rng.choice(signs) for _ in range(n)) for signs, n in (("abcXYZ019_-.", 5000), ("0123456789abcdef", 512), ("abcdef", 30)))
+    texts = [f"x token = {token} y", f"key {key} z", f"see {letters} here", f"no {key}g here", "1" * 100_000 + "g", "token=" + "z" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = [[(c.shape, c.s, c.e) for c in r.c] for r in df.orderBy("i").select(pii.candidates(F.col("text")).alias("c")).collect()]
+    assert got == [[("assigned", 2, 5010)], [("hex", 4, 516)], [("hex", 4, 34)], [], [], [("assigned", 0, 100_006)]]
+
+
+def test_redaction_leaves_nothing_of_long_secrets(spark):
+    key = hashlib.sha512(b"k").hexdigest() * 3
+    rows = [(i, f"x token = {hashlib.sha1(str(i).encode()).hexdigest()} y") for i in range(40)] + [(100 + i, f"see commit {hashlib.sha1(str(i).encode()).hexdigest()} z") for i in range(10)] + [(200, f"x token = {key} y")]
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[12] == out[200] == "x <SECRET> y"
+
+
 def test_em_finds_the_reliable_labeler():
     rng = random.Random(2)
     counts = collections.Counter()

@@ -36,12 +36,14 @@ PATTERNS = {
 }
 #: Looser shapes: name, kind, pattern.
 LOOSE = (
-    ("hex", "secret", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{24,128}(?![A-Za-z0-9])"),
-    ("assigned", "secret", r"(?<![A-Za-z])(?i:token|secret|password|passwd|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+.-]{12,200}"),
+    ("hex", "secret", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{24,}+(?![A-Za-z0-9])"),
+    ("assigned", "secret", r"(?<![A-Za-z])(?i:token|secret|password|passwd|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+.-]{12,}+"),
     ("local", "phone", r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("written", "email", rf"(?<!{_LOCAL})[A-Za-z0-9._%+-]{{1,64}} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{{1,64}}(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]{{1,64}})+"),
     ("ssn", "secret", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 )
+#: What a text must hold for a match of each loose shape.
+SIGNS = {"hex": "[A-Fa-f0-9]{24}", "assigned": "[=:]", "local": "[0-9]{3}[ .-][0-9]{4}", "written": r"[\[(](?:at|AT)[\])]", "ssn": "[0-9]{3}-[0-9]{2}-"}
 FIELDS = r"(?i)(?:token|secret|passw|key|card|visa|phone|tel|call|mail|contact|account|ssn|login)[^\p{L}]*$"
 DOMAINS = r"(?i)(?:\.|dot[\])] ?)(?:com|org|net|edu|gov|io|de|fr|es|uk)$"
 AGAINST = r"(?i)(?:version|isbn|issn|order|invoice|commit|sha|md5|checksum|digest|figure|chapter|license)[^\p{L}]*$"
@@ -180,8 +182,7 @@ def _voted(name: str, kind: str):
 
 def candidates(text: Column) -> Column:
     """Loose matches with the labelers' votes and shape features."""
-    digit = text.rlike("[0-9]{2}|[\\[(](?:at|AT)[\\])]|[=:]")
-    return F.flatten(F.array(*[F.transform(find(text, pattern, digit), _voted(name, kind)) for name, kind, pattern in LOOSE])).cast(_CAND)
+    return F.flatten(F.array(*[F.transform(find(text, pattern, text.rlike(SIGNS[name])), _voted(name, kind)) for name, kind, pattern in LOOSE])).cast(_CAND)
 
 
 @dataclass

@@ -165,3 +165,14 @@ def test_contamination(spark, limit):
         assert decontaminate.decontaminate(d, b.limit(0)).count() == len(docs) and decontaminate.decontaminate(d.limit(0), b).count() == 0
         long = next(r for r in found.select("doc_id", name).collect() if r.doc_id == 4)[1]
         assert (long.longest_match, long.longest_item, long.longest_at_word, long.longest_item_word) == (17, "5", 0, 3)
+
+
+def test_items_of_null_id_hit(spark):
+    named, unnamed = (" ".join(f"{k}{i}" for i in range(20)) for k in "nu")
+    d = spark.createDataFrame([(1, "x " + unnamed + " y"), (2, named + " z " + unnamed), (3, "a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, named), (None, unnamed)], "item_id long, text string")
+    for limit in (1 << 20, 40):
+        found, name = decontaminate.matches(d, b, block_bytes=limit)
+        got = {r.doc_id: (r.n, r["items"], r.longest_match, r.bad) for r in found.select("doc_id", decontaminate.hit_words(name).alias("n"), f"{name}.items", f"{name}.longest_match", decontaminate.contaminated(name).alias("bad")).collect()}
+        assert got == {1: (20, [], 20, True), 2: (40, ["7"], 20, True), 3: (0, [], 0, False)}
+    assert [r.doc_id for r in decontaminate.decontaminate(d, b).collect()] == [3]

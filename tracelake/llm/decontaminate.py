@@ -12,7 +12,7 @@ takes more passes over the documents.
 
 Words: ASCII letters are lower-cased; a word is a run of letters, digits and bytes over 0x7F.
 Defined results: null or empty text has no words, no hits and is clean; an item without words never
-matches; repeated rows are judged each; empty tables give no rows or no hits; other columns are kept.
+matches; an item of null id is searched and hits like any other, but the list of items leaves it out; repeated rows are judged each; empty tables give no rows or no hits; other columns are kept.
 """
 
 from __future__ import annotations
@@ -127,7 +127,8 @@ class Queries:
         at, item, place = at[pick], self.item[own], self.place[own]
         doc = np.searchsorted(first, at, "right") - 1
         for d, k in np.unique(np.stack([doc, item], 1), axis=0).tolist():
-            items[d].add(self.names[k])
+            if self.names[k] is not None:
+                items[d].add(self.names[k])
         length, going = self.size[query[pick]].copy(), np.arange(len(pick))
         while len(going):  # follow each match to its full length
             i, j = at[going] + length[going], place[going] + length[going]
@@ -142,9 +143,9 @@ class Queries:
         return first, hit, items, best
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items, a bounded block at a time."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), text_of(text_col).alias("t")).filter(F.col("i").isNotNull() & (F.col("t") != ""))
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), text_of(text_col).alias("t")).filter(F.col("t") != "")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
     count = max(1, math.ceil(total / limit))
     for k in range(count):
@@ -172,7 +173,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     return result, name
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], text_col: str, window: int, name: str) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[str | None, str]], text_col: str, window: int, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     earlier = name in docs.columns
     place = docs.columns.index(text_col)

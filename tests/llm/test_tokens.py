@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracelake.llm import encode, packing, token_counts, token_output
-from tracelake.llm.common import work_path
+from tracelake.llm.common import utf8, work_path
 
 ODD = [
     None, "", "  ", " a", "a ", "a  b", "x\n y", "x \ny", "a\tb c", "▁ a ▁b", "<|endoftext|> hi <|endoftext|>", "<s> x</s>", "don't  stop 'll, ok. Yes.", "a b", "é ́x",
@@ -67,11 +68,12 @@ def test_encoder_gives_the_ids_of_the_library(name, keeps_space, memo):
     rng = np.random.default_rng(3)
     texts = ["".join(parts[rng.integers(len(parts))] + ["", " ", " ", "\n", "  "][rng.integers(5)] for _ in range(rng.integers(25))) for _ in range(3000)]
     texts += [" ".join(["One.", "two,\nThree", "four!?", "a\n\nb.", "'s.", "x\n'll", "e\n", "<|endoftext|>\nB", "b.\n<|endoftext|>"][k] for k in rng.integers(9, size=4)) for _ in range(500)]
-    encoder = encode.id_encoder(path(name), keeps_space)
-    encoder = encode.Encoder(*encoder._encode, memo=memo, split=encoder._split)
+    encoder = encode.IdEncoder(path(name), keeps_space, memo)
     library = Tokenizer.from_file(path(name))
-    got = [b"".join(x) for at in range(0, len(texts), 100) for x in encoder(texts[at : at + 100])]
-    assert got == [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for at in range(0, len(texts), 100):
+        ids, bounds = encoder(*utf8(pa.array(texts[at : at + 100])))
+        got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 100]]
 
 
 @pytest.mark.parametrize("targets", [None, {"a": 0.8, "b": 0.1}])

@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import byte_chunks, materialise, table, text_of
+from tracelake.llm.common import byte_chunks, discard, materialise, table, text_of, utf8
 from tracelake.llm.encode import MEMO, id_encoder
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 LENGTH = 1024
 WINDOW = 64 * LENGTH
 #: Rows of partition offsets that may be broadcast (about 50 bytes each); beyond, the join shuffles.
@@ -46,18 +46,18 @@ def tokenised(docs: DataFrame, path: str, end_id: int, keeps_space: bool = True,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = id_encoder(path, keeps_space, memo), np.asarray([end_id], "<u4").tobytes()
+        encoder = id_encoder(path, keeps_space, memo)
         part, seen = TaskContext.get().partitionId(), {}
         for chunk in byte_chunks(batches, "text", BATCH_BYTES):
-            sources, each, sizes, starts = chunk.column("source").to_pylist(), [], [], []
-            for source, p in zip(sources, encoder(chunk.column("text").to_pylist())):
-                ids = np.frombuffer(b"".join([*p, end]), "<u4")
-                each.append(ids.astype("<u2").tobytes() if ids.max() < 65536 else ids.tobytes())
-                sizes.append(len(ids))
+            ids, bounds = encoder(*utf8(chunk.column("text")), end_id)
+            sizes, starts = np.diff(bounds), []
+            for source, size in zip(chunk.column("source").to_pylist(), sizes.tolist()):
                 starts.append(seen.get(source, 0))
-                seen[source] = starts[-1] + len(ids)
+                seen[source] = starts[-1] + size
+            kind = "<u2" if ids.max() < 65536 else "<u4"
+            each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int64) * int(kind[2])), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id"), chunk.column("source"), pa.array([part] * len(each), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(each, pa.binary())],
+                [chunk.column("doc_id"), chunk.column("source"), pa.array([part] * len(sizes), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes), each],
                 names=["doc_id", "source", "part", "local_start", "n_tokens", "ids"],
             )
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import byte_chunks, table, text_of, utf8
-from tracelake.llm.encode import id_length_encoder, length_encoder
+from tracelake.llm.encode import id_encoder, length_encoder
 
 BATCH_BYTES = 2 << 20
 LIMIT = 4096
@@ -33,11 +33,13 @@ def token_counts(
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = id_length_encoder(path, True) if path.endswith(".json") else length_encoder(path)
+        encoder = id_encoder(path, True) if path.endswith(".json") else length_encoder(path)
         for chunk in byte_chunks(batches, "text", batch_bytes):
-            _, offsets = utf8(chunk.column("text"))
-            texts = chunk.column("text").to_pylist()
-            lengths = np.array([sum(x) for x in encoder(texts)], np.int64)
+            raw, offsets = utf8(chunk.column("text"))
+            if path.endswith(".json"):
+                lengths = np.diff(encoder(raw, offsets)[1])
+            else:
+                lengths = np.array([sum(x) for x in encoder(chunk.column("text").to_pylist())], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("id"), pa.array(np.diff(offsets)), pa.array(lengths), pa.array(lengths > limit)],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],

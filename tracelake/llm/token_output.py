@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import byte_chunks, table, text_of, work_path
+from tracelake.llm.common import byte_chunks, table, text_of, utf8, work_path
 from tracelake.llm.encode import id_encoder
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
@@ -32,13 +32,11 @@ def encoded(docs: DataFrame, path: str, end_id: int, keeps_space: bool, batch_by
     """doc_id, n_tokens and ids (with ``end_id``) of each row of ``docs`` (doc_id, text), in the rows' order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = id_encoder(path, keeps_space), np.asarray([end_id], "<u4").tobytes()
+        encoder = id_encoder(path, keeps_space)
         for chunk in byte_chunks(batches, "text", batch_bytes):
-            each = [b"".join([*p, end]) for p in encoder(chunk.column("text").to_pylist())]
-            sizes = np.array([len(b) // 4 for b in each], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(each), "<i4")))
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+            ids, bounds = encoder(*utf8(chunk.column("text")), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.diff(bounds)), lists], names=["doc_id", "n_tokens", "ids"])
 
     return docs.mapInArrow(encode, SCHEMA)
 

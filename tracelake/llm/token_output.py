@@ -11,6 +11,7 @@ id stay, in the order of their texts; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -74,6 +75,12 @@ def read_token_ids(spark: SparkSession, target: str, doc_ids: list[int] | None =
     return df
 
 
+def part_number(file: str) -> int:
+    """The number of a part file; names alone do not sort by it beyond five digits."""
+    found = re.match(r"part-(\d+)", file)
+    return int(found[1]) if found else -1
+
+
 def token_layout(spark: SparkSession, target: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the ids read back from ``target``."""
 
@@ -91,9 +98,9 @@ def token_layout(spark: SparkSession, target: str) -> DataFrame:
     stored = read_token_ids(spark, target)
     # one number a file: bounded by the files, not by the documents
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    sums = sorted(stored.groupBy(name.alias("file")).agg(F.sum("n_tokens").alias("n")).collect())
+    sums = stored.groupBy(name.alias("file")).agg(F.sum("n_tokens").alias("n")).collect()
     before, base = 0, []
-    for file, n in sums:  # part numbers ascend with the ranges of ids
+    for file, n in sorted(sums, key=lambda r: (part_number(r["file"]), r["file"])):  # part numbers ascend with the ranges of ids
         base.append((file, before))
         before += n
     bases = spark.createDataFrame(base, "file string, base long")

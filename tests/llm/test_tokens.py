@@ -58,6 +58,25 @@ def test_output_round_trip_and_pruning(spark, docs):
     assert token_output.read_token_ids(spark, target, low=3, high=5).count() == 3
 
 
+def test_output_of_nothing_and_of_repeated_ids(spark, docs):
+    target = work_path(spark, "ids")
+    token_output.write_token_ids(docs.limit(0), target, path("word_bpe_49k.json"), 1, False, partitions=2)
+    assert token_output.token_layout(spark, target).count() == 0
+    rows = [(None, "one two", "a", ""), (None, None, None, ""), *[(3, f"text {i % 7}", "a", "") for i in range(40)], (2, "x", "a", "")]
+    target = work_path(spark, "ids")
+    token_output.write_token_ids(spark.createDataFrame(rows, DDL).repartition(3), target, path("word_bpe_49k.json"), 1, False, partitions=4)
+    got = sorted(token_output.token_layout(spark, target).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 2] + [3] * 40
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    ids = [np.asarray(Tokenizer.from_file(path("word_bpe_49k.json")).encode(t or "", add_special_tokens=False).ids + [1], "<u4") for _, t, _, _ in rows]
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(x.tobytes()) for x in ids)
+
+
+def test_part_files_sort_by_number():
+    names = ["part-100000-x.orc", "part-10001-x.orc", "part-00002-x.orc"]
+    assert sorted(names, key=token_output.part_number) == names[::-1]
+
+
 @pytest.mark.parametrize("name,keeps_space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 @pytest.mark.parametrize("memo", [6, 800_000])
 def test_encoder_gives_the_ids_of_the_library(name, keeps_space, memo):

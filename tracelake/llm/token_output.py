@@ -6,7 +6,7 @@ column and reads stripes in parallel. The start of a document in the whole seque
 its file's predecessors (one number a file) and a running sum within its file.
 
 Defined results: a null text is empty and has the end id alone; a null id sorts first; rows that repeat an
-id stay, in the order of their texts; an empty table gives no rows; other columns are not written.
+id stay, in the order of their texts' hashes; an empty table gives no rows; other columns are not written.
 """
 
 from __future__ import annotations
@@ -50,7 +50,9 @@ def write_token_ids(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # hashes and places of reading split an id that many rows have; rows of one id and text are alike, so their order is free
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("p"))
+    placed = keyed.repartitionByRange(parts, "doc_id", "h", "p").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     (
         encoded(placed, path, end_id, keeps_space)
         .write.option("compression", "zstd")

@@ -70,6 +70,50 @@ def test_groups_in_blocks(spark, near, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.linked_components(df, n=4, num=85).collect()) == brute_components(near, 4, 85, 100)
 
 
+def test_frequent_keys_are_left_out(spark, near, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    df = spark.createDataFrame(near, "doc_id long, text string").repartition(4)
+    for n, num in ((4, 85), (5, 80), (3, 50)):
+        assert sorted(tuple(r) for r in jaccard.linked_components(df, n=n, num=num).collect()) == brute_components(near, n, num, 100)
+
+
+def test_keys_that_run_over_batches(spark, monkeypatch):
+    rows = [(k, i) for k in range(-20, 20) for i in range((k * 7) % 23) for _ in range(1 + i % 2)]
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = jaccard.shared_keys(spark.createDataFrame(rows, "key long, id long").repartition(3)).distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ids = {k: sorted({i for q, i in rows if q == k}) for k in {k for k, _ in rows}}
+    want = {(None, v[0], i) for v in ids.values() if len(v) <= 5 for i in v[1:]} | {(k, None, i) for k, v in ids.items() if len(v) > 5 for i in v}
+    assert {tuple(r) for r in got} == want
+
+
+def thue_morse(first, second, size=1024):
+    """Two words that polynomial hashes modulo 2**64 cannot tell apart."""
+    bits = [bin(k).count("1") & 1 for k in range(size)]
+    return "".join(first if b else second for b in bits), "".join(second if b else first for b in bits)
+
+
+def test_words_with_equal_polynomials_are_not_linked(spark):
+    one, two = thue_morse("a", "b")
+    df = spark.createDataFrame([(1, one), (2, two), (3, f"x y {one} z q"), (4, f"x y {two} z q"), (5, two)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.linked_components(df, n=4, num=85).collect()) == [(1, 1, 1), (2, 1, 2), (3, 2, 3), (4, 2, 4), (5, 1, 2)]
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark, near):
+    words = [t for _, t in near if t and len(t) > 200]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1]), (2, words[1]), (3, words[0]), (4, words[2]), (4, words[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stands = min(words[:2], key=lambda t: df.sparkSession.range(1).selectExpr(f"xxhash64('{t}')").first()[0])
+    root = {1: 1, 2: 1 if stands == words[1] else 2, 3: 1 if stands == words[0] else 3, 4: 4}
+    got = sorted(tuple(r) for r in jaccard.linked_components(df, n=4, num=85).collect())
+    assert got == sorted((i, len(shingles(t, 4)), root[i]) for i, t in rows)
+    kept = sorted(tuple(r) for r in jaccard.keep_one(df, n=4, num=85).collect())
+    assert [i for i, _ in kept] == sorted(set(root.values()))
+
+
 def test_chains_contract(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     roots = {r.id: r.root for r in jaccard.components(edges).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,11 +51,10 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a table that ``materialise`` wrote, once nothing reads it any more."""
-    files = df.inputFiles()
-    if files:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+    """Deletes the tables of ``materialise`` that ``df`` reads, once nothing else reads them."""
+    spark = df.sparkSession
+    for folder in sorted({file.rsplit("/", 1)[0] for file in df.inputFiles()}):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -152,6 +152,28 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tup
     return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
 
 
+def word_codes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, key: bytes) -> np.ndarray:
+    """64-bit keyed hashes of the words start..stop; words are told apart by their bytes, each distinct one is hashed once."""
+    words = spans(raw, start, stop).dictionary_encode()
+    codes = b"".join([hashlib.blake2b(w, digest_size=8, key=key).digest() for w in words.dictionary.to_numpy(zero_copy_only=False)])
+    return np.frombuffer(codes, np.uint64)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+
+
+def spans(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The bytes of the ascending, disjoint spans start..stop as an Arrow array."""
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[start] += 1
+    edge[stop] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    ends = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
+
+
+def keyed_multipliers(key: bytes, n: int) -> list[np.uint64]:
+    """Odd 64-bit numbers that follow from ``key``."""
+    return [np.uint64(int.from_bytes(hashlib.blake2b(bytes([j % 256, j // 256]), digest_size=8, key=key).digest(), "little") | 1) for j in range(n)]
+
+
 def let(value, body):
     """``body`` of a value that is computed once: a lambda variable holds it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -152,7 +152,7 @@ def brute_repeats(rows, size):
                 gone[p : p + size] = [1] * size
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out.append((i, len(b), sum(gone), sum(g and (not p or not gone[p - 1]) for p, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=lambda r: (r[0] is not None, r))
 
 
 @pytest.mark.parametrize("block, shard", [(400, 1 << 20), (5, 2000)])
@@ -166,12 +166,26 @@ def test_repeats(spark, monkeypatch, block, shard):
         a = text(rng.randint(0, 120))
         rows.append((k, a[: len(a) // 2] + passage[rng.randint(0, 20) : rng.randint(40, 70)] + a[len(a) // 2 :] if k % 2 else a))
     rows += [(900, "a" * 200), (901, "ab" * 80), (902, None), (903, ""), (904, rows[5][1]), (905, rows[5][1]), (906, "x" * 39)]
+    rows += [(905, rows[5][1]), (None, rows[7][1]), (None, rows[7][1]), (None, None)]
     df = spark.createDataFrame([(i, t, "y") for i, t in rows], "doc_id long, text string, spans string").repartition(3)
     out = suffix_dedup.remove_repeats(df, length=40, anchor=16)
-    assert sorted(tuple(r) for r in out.drop("kept").collect()) == brute_repeats(rows, 40)
+    order = lambda r: (r[0] is not None, r)
+    assert sorted((tuple(r) for r in out.drop("kept", "text").collect()), key=order) == brute_repeats(rows, 40)
+    assert all(r.text.encode() == bytes(r.kept) for r in out.collect())
     assert suffix_dedup.remove_repeats(df.limit(0), length=40, anchor=16).count() == 0
 
 
+def test_texts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LONG_BYTES", 4096)
+    rng = random.Random(4)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(300))
+    long = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(1, long(2000) + shared + long(4000) + shared[:90] + long(500)), (2, shared[100:] + long(50)), (3, long(9000) + "\u00e9" + shared[50:200])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(df, length=40, anchor=16)
+    assert sorted(tuple(r) for r in out.drop("kept", "text").collect()) == brute_repeats(rows, 40)
+
+
 def brute_contamination(docs, items, window=13):
     rx, low = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
     words = lambda t: rx.findall((t or "").encode().translate(low))

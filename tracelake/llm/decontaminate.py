@@ -8,7 +8,7 @@ up by binary search; the range of the suffix array that it finds are its places
 match is followed to its full length. Documents are never shuffled: a match does not cross documents.
 
 The benchmark is a stated query set. It is broadcast in blocks of at most ``BLOCK_BYTES``; a larger one
-takes more passes over the documents.
+takes more passes over the documents, and each pass but the last is written. Words are told apart by their bytes.
 
 Words: ASCII letters are lower-cased; a word is a run of letters, digits and bytes over 0x7F.
 Defined results: null or empty text has no words, no hits and is clean; an item without words never
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import ascii_lower, byte_chunks, free_name, rolling, span_hash, table, text_of, utf8, word_spans
+from tracelake.llm.common import ascii_lower, byte_chunks, free_name, materialise, spans, table, text_of, utf8, word_spans
 
 WINDOW = 13
 SHARD_BYTES = 2 << 20
@@ -38,10 +38,11 @@ _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
 
-def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the first word of each text (n+1)."""
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words, the number of each word among them, and the first word of each text (n+1)."""
     start, stop, first = word_spans(raw, offsets, _IS_WORD)
-    return span_hash(rolling(raw, _FOLD), start, stop), first
+    coded = spans(_FOLD[raw], start, stop).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64), first
 
 
 class Queries:
@@ -50,9 +51,9 @@ class Queries:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.names = [name for name, _ in items]
         raw, offsets = utf8(pa.array([text for _, text in items], pa.large_string()))
-        hashes, first = _words(raw, offsets)
-        self.vocabulary, ids = np.unique(hashes, return_inverse=True)
-        self.ids = np.append(ids.astype(np.int64) + 1, 0)
+        known, ids, first = _words(raw, offsets)
+        self.vocabulary = {w: k + 1 for k, w in enumerate(known)}
+        self.ids = np.append(ids + 1, 0)
         self.ends = first[1:]
         self.window = window
         pairs = self.ids[:-2] * (len(self.vocabulary) + 1) + self.ids[1:-1]
@@ -85,15 +86,14 @@ class Queries:
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[set[str]], np.ndarray]:
         """First word of each text (n+1), which words are hit, the items of each text, and its longest match:
         words, item, first word in the text, first word in the item (-1 where none)."""
-        hashes, first = _words(raw, offsets)
-        n, docs = len(hashes), len(offsets) - 1
+        known, words, first = _words(raw, offsets)
+        n, docs = len(words), len(offsets) - 1
         items: list[set[str]] = [set() for _ in range(docs)]
         best = np.full((docs, 4), -1, np.int64)
         best[:, 0] = 0
         if not n or not len(self.keys):
             return first, np.zeros(n, bool), items, best
-        slot = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        ids = np.append(np.where(self.vocabulary[slot] == hashes, slot + 1, 0), 0)
+        ids = np.append(np.array([self.vocabulary.get(w, 0) for w in known], np.int64)[words], 0)
         last = np.zeros(n, bool)
         last[first[1:][first[1:] > 0] - 1] = True
         follows = np.zeros(n, bool)  # the next word continues a run that the benchmark knows
@@ -167,9 +167,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
             window: int = WINDOW, out: str | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """``docs`` with a struct column of what the suffix arrays find (bits of hit words, items, longest match); its name."""
     name = out or free_name(docs, "benchmark_hits")
-    result = docs
+    result: DataFrame | None = None
     for items in _blocks(benchmark, item_col, item_text, block_bytes):
-        result = _pass(result, items, text_col, window, name)
+        before = docs if result is None else materialise(result, "decontamination-pass")
+        result = _pass(before, items, text_col, window, name)
     return result, name
 
 

@@ -418,7 +418,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     # one row for each id, and of equal sets the smallest id
     one = meta.filter("id is not null").groupBy("id").agg(F.min(F.struct("h", "n", "f1", "f2", "sketch", "even", "odd")).alias("x")).select("id", "x.*")
     one = materialise(one, "jaccard-documents")
-    reps = one.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
+    reps = materialise(one.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "jaccard-reps")
     info = materialise(one.join(reps, ["n", "f1", "f2"]), "jaccard-sets")
     twins = info.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     info = info.filter("id = rep").select("id", "h", "n", "sketch", "even", "odd")
@@ -470,7 +470,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     linked = twins.join(roots.withColumnRenamed("id", "a"), "a", "left").select(F.col("b").alias("id"), F.coalesce("root", "a").alias("root")).union(roots)
     linked = materialise(linked, "jaccard-linked")
     found = materialise(meta.join(linked, "id", "left").select("id", "h", "n", F.coalesce("root", "id").alias("component")), "jaccard-result")
-    for done in (meta, one, info, others, stars, tested, roots):
+    for done in (meta, one, reps, info, others, stars, tested, roots):
         discard(done)
     return found, linked
 

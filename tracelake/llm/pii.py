@@ -5,7 +5,8 @@ checksum, gazetteer and context labelers vote on each (1 yes, 0 no, 2 abstains).
 pattern - a table whose size is bounded by the labelers, not by the corpus - and expectation-maximisation
 over those counts estimates each labeler's reliability and each pattern's posterior. The posteriors then
 train the span classifier: log-odds of votes and shape features from grouped sums. It judges candidates;
-those that it accepts and that overlap no base span are added.
+those that it accepts are added. What overlaps a base span is no candidate, so it does not train either.
+Labelers see the match, ``BEFORE`` code points before it and ``AFTER`` after it.
 
 Positions are code points. A match's place is found by marking matches in one replacement and summing the
 lengths between marks, in blocks, so that many matches cost little more than few. Patterns hold no
@@ -23,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import free_name, let, materialise, table, text_of
+from tracelake.llm.common import discard, free_name, let, materialise, table, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -39,7 +40,7 @@ LOOSE = (
     ("hex", "secret", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{24,}+(?![A-Za-z0-9])"),
     ("assigned", "secret", r"(?<![A-Za-z])(?i:token|secret|password|passwd|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+.-]{12,}+"),
     ("local", "phone", r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    ("written", "email", rf"(?<!{_LOCAL})[A-Za-z0-9._%+-]{{1,64}} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{{1,64}}(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]{{1,64}})+"),
+    ("written", "email", rf"(?<!{_LOCAL}){_LOCAL}++ ?[\[(](?:at|AT)[\])] ?{_HOST}++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?{_HOST}++)++"),
     ("ssn", "secret", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 )
 #: What a text must hold for a match of each loose shape.
@@ -50,6 +51,7 @@ AGAINST = r"(?i)(?:version|isbn|issn|order|invoice|commit|sha|md5|checksum|diges
 ABSTAIN = 2
 LABELERS = ("shape", "checksum", "gazetteer", "against", "edges")
 BLOCK = 256
+BEFORE, AFTER = 24, 4
 #: A trained classifier accepts a span at this posterior.
 ACCEPT = 0.5
 
@@ -88,7 +90,7 @@ def find(text: Column, pattern: str, quick: Column | None = None) -> Column:
                 m = F.substring_index(own, "\x02", 1)
                 return F.struct(
                     F.get(at, k).alias("s"), (F.get(at, k) + F.length(m)).alias("e"), m.alias("m"),
-                    F.right(F.get(parts, k - 1), F.lit(24)).alias("before"), F.left(F.substring_index(own, "\x02", -1), F.lit(4)).alias("after"),
+                    F.right(F.get(parts, k - 1), F.lit(BEFORE)).alias("before"), F.left(F.substring_index(own, "\x02", -1), F.lit(AFTER)).alias("after"),
                 )
 
             return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), row)
@@ -180,9 +182,14 @@ def _voted(name: str, kind: str):
     return row
 
 
-def candidates(text: Column) -> Column:
-    """Loose matches with the labelers' votes and shape features."""
-    return F.flatten(F.array(*[F.transform(find(text, pattern, text.rlike(SIGNS[name])), _voted(name, kind)) for name, kind, pattern in LOOSE])).cast(_CAND)
+def _apart(base: Column):
+    return lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """Loose matches that overlap no base span, with the labelers' votes and shape features."""
+    found = F.flatten(F.array(*[F.transform(find(text, pattern, text.rlike(SIGNS[name])), _voted(name, kind)) for name, kind, pattern in LOOSE])).cast(_CAND)
+    return F.filter(found, _apart(base))
 
 
 @dataclass
@@ -239,7 +246,7 @@ def em(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[dict[tuple
 def train(found: DataFrame, column: str) -> Model:
     """The classifier from all candidates of the array column ``column``."""
     each = found.select(F.explode(column).alias("c")).select(F.col("c.v").alias("v"), F.col("c.f").alias("f"))
-    tally = materialise(each.groupBy("v", "f").agg(F.count("*").alias("n")), "pii-votes")  # bounded by votes and shapes
+    tally = each.groupBy("v", "f").agg(F.count("*").alias("n"))  # bounded by votes and shapes
     rows = [(tuple(r["v"]), tuple(r["f"]), r["n"]) for r in tally.collect()]
     if not rows:
         return Model()
@@ -259,8 +266,8 @@ def train(found: DataFrame, column: str) -> Model:
 
 
 def all_spans(base: Column, cands: Column, model: Model) -> Column:
-    """Base spans and the accepted candidates that overlap none of them, by start and kind."""
-    accepted = F.filter(cands, lambda c: model.accepts(c) & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    """Base spans and the accepted candidates, by start and kind."""
+    accepted = F.filter(cands, model.accepts)
     inside = lambda c, b: (b["s"] <= c["s"]) & (c["e"] <= b["e"]) & ((b["s"] < c["s"]) | (c["e"] < b["e"]))
     added = let(accepted, lambda a: F.filter(a, lambda c: ~F.exists(a, lambda b: inside(c, b))))
     return F.array_distinct(F.sort_array(F.concat(base, F.transform(added, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))))
@@ -276,38 +283,42 @@ def extracted(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (
     """``keep`` columns, base spans and candidates of each row, written once."""
     text = F.col("t")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], plain(text_of(text_col)).alias("t"))
-    return materialise(rows.select(*[F.col(f"`{c}`") for c in keep], base_spans(text).alias("base"), candidates(text).alias("cands")), "pii-spans")
+    rows = rows.withColumn("base", base_spans(text))
+    return materialise(rows.select(*[F.col(f"`{c}`") for c in keep], "base", candidates(text, F.col("base")).alias("cands")), "pii-spans")
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with every span replaced by its kind in angle brackets."""
+    # spans that begin inside an earlier one add nothing but its end
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,s:int,k:int>>").alias("out"))
+    cuts = F.aggregate(
+        spans, zero,
+        lambda a, x: F.struct(
+            F.greatest(a["at"], x["e"]).alias("at"),
+            F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["at"].alias("a"), x["s"].alias("s"), x["k"].alias("k"))))).alias("out"),
+        ),
+    )
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    own = let(cuts, lambda c: F.concat(
+        F.array_join(F.transform(c["out"], lambda x: F.concat(F.substring(text, x["a"] + 1, x["s"] - x["a"]), F.get(names, x["k"]))), ""),
+        F.substring(text, c["at"] + 1, F.length(text)),
+    ))
+    return F.when(F.size(spans) > 0, own).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in angle brackets; the classifier is trained on ``docs``."""
-    model = train(extracted(docs, text_col), "cands")
-    text, own = text_of(text_col), free_name(docs, "spans")
-
-    def masked(spans: Column) -> Column:
-        # spans that begin inside an earlier one add nothing but its end
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,s:int,k:int>>").alias("out"))
-        cuts = F.aggregate(
-            spans, zero,
-            lambda a, x: F.struct(
-                F.greatest(a["at"], x["e"]).alias("at"),
-                F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["at"].alias("a"), x["s"].alias("s"), x["k"].alias("k"))))).alias("out"),
-            ),
-        )
-        names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-        return let(cuts, lambda c: F.concat(
-            F.array_join(F.transform(c["out"], lambda x: F.concat(F.substring(text, x["a"] + 1, x["s"] - x["a"]), F.get(names, x["k"]))), ""),
-            F.substring(text, c["at"] + 1, F.length(text)),
-        ))
-
-    spans = let(plain(text), lambda t: let(base_spans(t), lambda b: all_spans(b, candidates(t), model)))
-    marked = docs.withColumn(own, spans)
-    changed = F.when(F.size(own) > 0, masked(F.col(own))).otherwise(F.col(f"`{text_col}`"))
-    return marked.withColumn(text_col, changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = extracted(docs, text_col)
+    model = train(found, "cands")
+    discard(found)
+    own = free_name(docs, "spans")
+    spans = let(plain(text_of(text_col)), lambda t: let(base_spans(t), lambda b: all_spans(b, candidates(t, b), model)))
+    changed = F.when(F.col(f"`{text_col}`").isNotNull(), masked(text_of(text_col), F.col(own)))
+    return docs.withColumn(own, spans).withColumn(text_col, changed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extracted(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    found = extracted(table(spark, sf_dir, "documents"), keep=("doc_id", "text"))
     model = train(found, "cands")
     base = F.col("base")
 
@@ -315,4 +326,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(base, lambda x: x["k"] == k)).cast("long").alias(f"n_{BASE_KINDS[k]}")
 
     spans = all_spans(base, F.col("cands"), model)
-    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_added"))
+    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_added"), masked(text_of(), spans).alias("text"))

@@ -7,17 +7,24 @@ Equal contexts of an anchor travel once, with their number. A shard's text is so
 smaller than their successors are sorted directly, the others are induced by one scan over the buckets of
 first bytes. Neighbours in the array with a common prefix of ``length`` bytes mark repeated strings.
 
-Anchors that occur once are never fetched. An anchor with many different contexts is cut into blocks of
-``BLOCK_CONTEXTS``; every two blocks meet in a task of their own, so no task holds a whole hot group.
+Anchors that occur once are never fetched. The strings of an anchor with more than ``BLOCK_CONTEXTS`` different
+contexts are split by where the anchor stands in them, ``STEP`` places together. Strings of such a range have
+all but ``STEP - 1`` of their bytes in common, the core, and equal strings have equal cores; so each range
+is known by the hash of its core and the bytes beside it, and grouped counts of these find the repeated
+strings. No task holds a whole hot group, and the work grows with the contexts, not with their pairs.
+
+Contexts and cores are told apart by keyed hashes whose key is drawn anew for each run; strings that are
+sorted, and the bytes beside a core, are compared as they are.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all bytes; rows that repeat an id
 and text each count, so their texts repeat; an empty table gives no rows. Texts are judged as UTF-8 bytes, so
-what is kept may cut a character; ``kept`` is binary.
+what is kept may cut a character; ``kept`` is binary, ``text`` is the same without what is left of cut characters.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import byte_chunks, materialise, rolling, span_hash, table, text_of, utf8
+from tracelake.llm.common import byte_chunks, discard, materialise, rolling, span_hash, table, text_of, utf8
 
 LENGTH = 400
 ANCHOR = 160
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
-BLOCK_CONTEXTS = 400
+#: Different contexts of an anchor that are sorted together; those of larger groups are split by the anchor's place.
+BLOCK_CONTEXTS = 200
+STEP = 16
 #: Entries (about 60 bytes each) that may be broadcast to the documents; beyond, the join shuffles.
-BROADCAST_ENTRIES = 2_500_000
+BROADCAST_ENTRIES = 1_000_000
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -46,9 +55,9 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchored(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one anchor: text, first start in it, further starts, anchor hash, hash of the run's bytes."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+def anchored(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int, key: bytes) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one anchor: text, first start in it, further starts, anchor hash, its place after the first start, keyed hash of the run's bytes."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64))
     if len(raw) < length:
         return none
     prefix = rolling(raw)
@@ -68,7 +77,13 @@ def anchored(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int) ->
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(starts)) - 1
     p, q = starts[head], starts[last]
-    return doc[head], p - offsets[doc[head]], q - p, grams[place[head]], span_hash(prefix, p, q + length)
+    data = raw.tobytes()
+    code = b"".join([_digest(data[i:j], key) for i, j in zip(p.tolist(), (q + length).tolist())])
+    return doc[head], p - offsets[doc[head]], q - p, grams[place[head]], place[head] - p, np.frombuffer(code, np.int64)
+
+
+def _digest(data: bytes, key: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8, key=key).digest()
 
 
 def two_stage(text: bytes, want: np.ndarray, depth: int) -> np.ndarray:
@@ -166,31 +181,34 @@ def _intervals(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist()))
 
 
-def _occurrences(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+_FOUND = {"a": pa.int64(), "b": pa.int64(), "first": pa.int64(), "extra": pa.int64(), "anchor": pa.int64(), "rel": pa.int64(), "code": pa.int64()}
+
+
+def _occurrences(docs: DataFrame, length: int, anchor: int, key: bytes) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
             raw, offsets = utf8(chunk.column("text"))
-            if len(raw) >= 1 << 24:
-                pieces = [_long(raw, offsets, length, anchor)]
-            else:
-                pieces = [anchored(raw, offsets, length, anchor)]
-            for doc, first, extra, gram, code in pieces:
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [chunk.column("a").take(take), chunk.column("b").take(take), pa.array(first), pa.array(extra), pa.array(gram.view(np.int64)), pa.array(code.view(np.int64))],
-                    names=["a", "b", "first", "extra", "anchor", "code"],
-                )
+            run = _long if len(raw) >= LONG_BYTES else anchored
+            doc, first, extra, gram, rel, code = run(raw, offsets, length, anchor, key)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column("a").take(take), chunk.column("b").take(take), *(pa.array(x) for x in (first, extra, gram.view(np.int64), rel, code))], names=list(_FOUND)
+            )
+
+    return docs.mapInArrow(find, ", ".join(f"{c} long" for c in _FOUND))
 
-    return docs.mapInArrow(find, "a long, b long, first long, extra long, anchor long, code long")
 
+#: Texts from here on are taken in parts; places of anchors have 24 bits.
+LONG_BYTES = 1 << 24
 
-def _long(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+
+def _long(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int, key: bytes) -> tuple[np.ndarray, ...]:
     """As ``anchored`` for one very long text, in overlapping parts that hold every string once."""
-    parts, size = [], 8 << 20
+    parts, size = [], LONG_BYTES // 2
     for at in range(0, max(1, len(raw) - length + 1), size):
         own = raw[at : at + size + length - 1]
-        doc, first, extra, gram, code = anchored(own, np.array([0, len(own)]), length, anchor)
-        parts.append((doc, first + at, extra, gram, code))
+        doc, first, *others = anchored(own, np.array([0, len(own)]), length, anchor, key)
+        parts.append((doc, first + at, *others))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -200,70 +218,157 @@ def _attach(docs: DataFrame, rows: DataFrame, entries: str, kind: str) -> DataFr
     return docs.join(F.broadcast(rows) if total <= BROADCAST_ENTRIES else rows, ["a", "b"], kind)
 
 
+def _ranges(rows: dict, length: int, step: int, key: bytes, data: bytes) -> pa.RecordBatch:
+    """The contexts of hot anchors by ranges of the anchor's place: core, the bytes before and after it, first and last start."""
+    out: list[tuple] = []
+    for anchor, code, extra, copies, base, rel in zip(*(rows[c].tolist() for c in ("anchor", "code", "extra", "copies", "base", "rel"))):
+        at = base + rel
+        for part in range((rel - extra) // step, rel // step + 1):
+            low, high, core = max(rel - extra, part * step), min(rel, part * step + step - 1), at - part * step
+            end = core - step + 1 + length
+            out.append((anchor, code, extra, copies, part, int.from_bytes(_digest(data[core:end], key), "little", signed=True), data[at - high : core], data[end : at - low + length], rel - high, rel - low))
+    kinds = [pa.int64()] * 6 + [pa.binary()] * 2 + [pa.int64()] * 2
+    names = ["anchor", "code", "extra", "copies", "part", "core", "left", "right", "lo", "hi"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(kinds), kinds)], names=names)
+
+
+def _hot_marks(ranges: DataFrame, step: int) -> DataFrame:
+    """(anchor, code, extra, lo, hi) of the repeated strings of hot anchors, by grouped counts over the rows of ``_ranges``."""
+    core, sides = ["anchor", "part", "core"], ["left", "right"]
+    kinds = materialise(ranges.groupBy(*core, *sides).agg(F.sum("copies").alias("c")), "repeats-sides")
+    cores = kinds.groupBy(*core).agg(F.sum("c").alias("total"), F.count("*").alias("d")).filter("total > 1")
+    cores = materialise(cores.select(*core, (F.col("d") > 1).alias("differ")), "repeats-cores")
+    judged = materialise(ranges.join(cores, core), "repeats-judged")
+    alike = judged.filter("not differ").select("anchor", "code", "extra", "lo", "hi")
+
+    def strings(rows: DataFrame) -> DataFrame:
+        """One row for each place of the anchor: of its string, the bytes beside the core."""
+        top, least = F.col("part") * step + F.octet_length("left"), (F.col("part") + 1) * step - 1 - F.octet_length("right")
+        rows = rows.withColumn("top", top).withColumn("at", F.explode(F.sequence(least, top)))
+        before, after = F.col("at") - F.col("part") * step, (F.col("part") + 1) * step - 1 - F.col("at")
+        own = lambda c, start, size: F.substring(F.hex(c), (start * 2 + 1).cast("int"), (size * 2).cast("int"))
+        return rows.withColumn("edge", F.concat(own("left", F.octet_length("left") - before, before), own("right", F.lit(0), after)))
+
+    several = kinds.join(cores.filter("differ"), core)
+    again = strings(several).groupBy(*core, "at", "edge").agg(F.sum("c").alias("total")).filter("total > 1").select(*core, "at", "edge")
+    again = materialise(again, "repeats-again")
+    each = strings(judged.filter("differ")).join(again, [*core, "at", "edge"]).withColumn("lo", F.col("lo") + F.col("top") - F.col("at"))
+    marks = materialise(alike.union(each.select("anchor", "code", "extra", "lo", F.col("lo").alias("hi"))), "repeats-hot-marks")
+    for done in (kinds, cores, judged, again):
+        discard(done)
+    return marks
+
+
+def merged(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """``rows`` (keys, spans) with spans in order, those that begin at most ``gap`` after the end of another as one."""
+    row = 1 << 40  # spans of different rows are set apart by this
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("spans")
+            flat, own = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())) * row
+            lo, hi = flat.field("lo").to_numpy() + own, flat.field("hi").to_numpy() + own
+            order = np.argsort(lo, kind="stable")
+            lo, top = lo[order], np.maximum.accumulate(hi[order])
+            first = np.flatnonzero(np.append(True, lo[1:] > top[:-1] + gap))
+            last = np.append(first[1:], len(lo)) - 1
+            offsets = np.searchsorted(lo[first] // row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(lo[first] % row), pa.array(top[last] % row)], names=["lo", "hi"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.ListArray.from_arrays(pa.array(offsets), spans)], names=[*keys, "spans"])
+
+    return rows.mapInArrow(merge, ", ".join(f"{c} long" for c in keys) + ", spans array<struct<lo:long,hi:long>>")
+
+
 def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(a, b, spans): for each text key the first and last starts of runs of repeated strings. ``texts``: a, b, text."""
-    spark = texts.sparkSession
-    found = materialise(_occurrences(texts, length, anchor), "repeats-anchors")
-    kinds = materialise(found.groupBy("anchor", "code", "extra").agg(F.count("*").alias("copies"), F.min(F.struct("a", "b", "first")).alias("at")), "repeats-contexts")
+    spark, key, limit = texts.sparkSession, secrets.token_bytes(16), BLOCK_CONTEXTS
+    step = max(1, min(STEP, length // 2))
+    found = materialise(_occurrences(texts, length, anchor, key), "repeats-anchors")
+    kinds = materialise(found.groupBy("anchor", "code", "extra").agg(F.count("*").alias("copies"), F.min(F.struct("a", "b", "first", "rel")).alias("at")), "repeats-contexts")
     groups = kinds.groupBy("anchor").agg(F.sum("copies").alias("total"), F.count("*").alias("g")).filter("total > 1").select("anchor", "g")
     shared = materialise(kinds.join(groups, "anchor").select("anchor", "code", "extra", "copies", "g", "at.*"), "repeats-shared")
-    wanted = materialise(shared.groupBy("a", "b").agg(F.collect_list(F.struct("anchor", "code", "extra", "copies", "g", "first")).alias("w")), "repeats-wanted")
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "code", "extra", "copies", "g"]
-        for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
-            raw, offsets = utf8(chunk.column("text"))
-            lists = chunk.column("w")
-            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            base = np.repeat(offsets[:-1], sizes) + flat.field("first").to_numpy()
-            stop = base + flat.field("extra").to_numpy() + length
-            data = raw.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [*(flat.field(c) for c in names), pa.array([data[i:j] for i, j in zip(base.tolist(), stop.tolist())], pa.binary())], names=[*names, "bytes"]
-            )
-
-    fetched = _attach(texts, wanted, "w", "inner").select("text", "w").mapInArrow(fetch, "anchor long, code long, extra long, copies long, g long, bytes binary")
-    blocks = F.ceil(F.col("g") / BLOCK_CONTEXTS).cast("int")
-    fetched = fetched.withColumn("side", F.pmod(F.xxhash64("code", "extra"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    fetched = fetched.select("anchor", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "code", "extra", "copies", "bytes")
+    discard(kinds)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fields = ["anchor", "code", "extra", "copies", "first", "rel"]
+
+    def fetched(hot: bool, schema: str, label: str) -> DataFrame | None:
+        """The contexts of hot or other anchors, with their bytes or ranges."""
+        own = shared.filter(F.col("g") > limit if hot else F.col("g").between(2, limit))
+        if not own.limit(1).count():
+            return None
+        wanted = materialise(own.groupBy("a", "b").agg(F.collect_list(F.struct(*fields)).alias("w")), "repeats-wanted")
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
+                raw, offsets = utf8(chunk.column("text"))
+                lists = chunk.column("w")
+                flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                rows = {c: flat.field(c).to_numpy() for c in fields}
+                rows["base"] = np.repeat(offsets[:-1], sizes) + rows["first"]
+                data = raw.tobytes()
+                if hot:
+                    yield _ranges(rows, length, step, key, data)
+                else:
+                    stop = rows["base"] + rows["extra"] + length
+                    cut = pa.array([data[i:j] for i, j in zip(rows["base"].tolist(), stop.tolist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[c]) for c in fields[:4]] + [cut], names=[*fields[:4], "bytes"])
+
+        out = materialise(_attach(texts, wanted, "w", "inner").select("text", "w").mapInArrow(fetch, schema), label)
+        discard(wanted)
+        return out
+
+    contexts = fetched(False, "anchor long, code long, extra long, copies long, bytes binary", "repeats-fetched")
+    ranges = fetched(True, "anchor long, code long, extra long, copies long, part long, core long, left binary, right binary, lo long, hi long", "repeats-ranges")
+    # the only context of an anchor, with copies, needs no comparison
+    marks = materialise(shared.filter("g = 1").select("anchor", "code", "extra", F.lit(0).cast("long").alias("lo"), F.col("extra").alias("hi")), "repeats-alone")
+    discard(shared)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple] = {}  # a context that meets several blocks of its anchor is in a shard once
+        held: list[tuple] = []
         size, now = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            own = list(held.values())
-            got = repeated_starts([h[4] for h in own], [h[2] for h in own], [h[3] for h in own], length)
-            rows = [(h[0], h[1], h[2], lo, hi) for h, starts in zip(own, got) for lo, hi in _intervals(starts)]
+            got = repeated_starts([h[4] for h in held], [h[2] for h in held], [h[3] for h in held], length)
+            rows = [(*h[:3], lo, hi) for h, starts in zip(held, got) for lo, hi in _intervals(starts)]
             held.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["anchor", "code", "extra", "lo", "hi"])
 
         for batch in batches:
-            for k, i, j, code, extra, copies, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, i, j) != now and size >= SHARD_BYTES:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != now and size >= SHARD_BYTES:
                     yield from flush()
                     size = 0
-                now = (k, i, j)
-                held[k, code, extra] = (k, code, extra, copies, data)
-                size += len(data)
+                now = row[0]
+                held.append(row)
+                size += len(row[4])
         if held:
             yield from flush()
 
-    marks = fetched.repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "code", "extra").mapInArrow(sort, "anchor long, code long, extra long, lo long, hi long")
-    marks = materialise(marks, "repeats-marks")
-    return (
-        found.join(marks, ["anchor", "code", "extra"])
-        .groupBy("a", "b").agg(F.collect_set(F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))).alias("spans"))
-    )
+    if contexts is not None:
+        sorted_marks = materialise(contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "code", "extra").mapInArrow(sort, "anchor long, code long, extra long, lo long, hi long"), "repeats-marks")
+        discard(contexts)
+        marks = marks.union(sorted_marks)
+    if ranges is not None:
+        marks = marks.union(_hot_marks(ranges, step))
+        discard(ranges)
+    # one row for each context, so that the join makes no more rows than there are contexts' places
+    context = ["anchor", "code", "extra"]
+    joined = materialise(merged(marks.groupBy(*context).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), context, 1), "repeats-joined")
+    shifted = F.transform("spans", lambda x: F.struct((F.col("first") + x["lo"]).alias("lo"), (F.col("first") + x["hi"]).alias("hi")))
+    spans = found.join(joined, context).groupBy("a", "b").agg(F.flatten(F.collect_set(shifted)).alias("spans"))
+    spans = materialise(merged(spans, ["a", "b"], length), "repeats-spans")
+    discard(joined)
+    discard(found)
+    discard(marks)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (binary) and its kept_sha256 for each row."""
+    """id, n_bytes, n_removed, n_spans, kept (binary), its kept_sha256 and what is left as ``text`` for each row."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("a"), F.xxhash64(text).alias("b"), text.alias("text"))
-    spans = materialise(repeats(rows.select("a", "b", "text"), length, anchor), "repeats-spans")
+    spans = repeats(rows.select("a", "b", "text"), length, anchor)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
@@ -278,14 +383,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = np.cumsum(gone[: len(data)]) > 0
                 kept = data[~gone].tobytes()
                 edges = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                out.append((len(data), int(gone.sum()), edges, kept, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out)) or [()] * 5
+                out.append((len(data), int(gone.sum()), edges, kept, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+            columns = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.string())],
-                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
+                [chunk.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.string())],
+                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "text"],
             )
 
-    return _attach(rows, spans, "spans", "left").select("id", "text", "spans").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return _attach(rows, spans, "spans", "left").select("id", "text", "spans").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, text string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

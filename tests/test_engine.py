@@ -246,15 +246,41 @@ def test_overrun_bounds_and_interval(spark):
     assert {tuple(r) for r in TR.interval(marked, man).collect()} == {("a", 10, 20), ("b", 1, 5)}
 
 
+def test_odd_lines_of_both_grammars(spark):
+    kernel = [
+        "  a b-c-12    [003] d..1.  12.000000345: kmalloc: call_site=ffff81 ptr=00ab bytes_req=8 bytes_alloc=16 gfp_flags=GFP_KERNEL node=-1",
+        "x [y]-7 [000] .... 1.5: kfree: call_site=0xfe ptr=0xab", "x-7 [000] .... 1.5: kfree: call_site=0xfe ptr=zz", "x-7 [000] .... 15: kfree: call_site=0xfe ptr=ab",
+        "x-7 .... 1.5: kfree: call_site=0xfe ptr=ab", "x-7 [000] .... 1.5: kmalloc: call_site=0xfe ptr=ab bytes_req=8 gfp_flags=A", "# x-7 [000] .... 1.5: kfree: call_site=0xfe ptr=ab",
+        "1,2,3,n,FREE,ab,0,0,cd",
+    ]
+    probe = ["5,2,3,n,ALLOC,p,FREE,0xab,1,2,cd", "6,2,3,,ALLOC,ab,1,2,cd,more", "7,2,3,n,ALLOC,ab,1,2", "8,2,x,n,ALLOC,ab,1,2,cd", kernel[1]]
+    lines = spark.createDataFrame([(r, 0, i, t) for r, own in (("k", kernel), ("p", probe)) for i, t in enumerate(own)], "run_id string, block long, line_id long, line string")
+    events = TR.parse_lines(lines).collect()
+    got = {r: sorted((x.timestamp_ns, x.pid, x.tid, x.cpu, x.comm, x.op, x.ptr, x.bytes_req, x.bytes_alloc, x.call_site) for x in events if x.run_id == r) for r in ("k", "p")}
+    assert got["k"] == [(1500000000, 7, 7, 0, "x [y]", "FREE", "0xab", 0, 0, "0xfe"), (12000000345, 12, 12, 3, "a b-c", "ALLOC", "00ab", 8, 16, "ffff81")]
+    assert got["p"] == [(5, 2, 3, 0, "n,ALLOC,p", "FREE", "0xab", 1, 2, "cd"), (6, 2, 3, 0, "", "ALLOC", "ab", 1, 2, "cd")]
+    marks = ["a-1 [000] .... 2.5: tracing_mark_write: f: SPRAY_START now", "a-1 [000] .... 3.5: tracing_mark_write: f SPRAY_END", "a-1 [000] .... 4.5: tracing_mark_write: f: SPRAY_END", "SPRAY_END"]
+    found = TR.marker_list(spark.createDataFrame([("r", 0, i, t) for i, t in enumerate(marks)], "run_id string, block long, line_id long, line string"))
+    assert sorted((r.name, r.ns) for r in found.collect()) == [("SPRAY_END", 4500000000), ("SPRAY_START", 2500000000)]
+    slab = spark.createDataFrame([("r", 0, 0, "x kmalloc-64: 12 a"), ("r", 0, 1, "kmalloc-64: 15"), ("r", 0, 2, "kmalloc-x: 3")], "run_id string, block long, line_id long, line string")
+    assert [tuple(r) for r in TR.slab_usage(slab).collect()] == [("r", 64, 15)]
+
+
 def test_run_tables(spark, tmp_path):
     ids = ["CVE-2017-7308/poc_cfh_combo/run_001_x", "CVE-2017-7308/idle/run_002_y", "CVE-2017-7308/net_busy_run_003"]
     got = [tuple(r[0]) for r in spark.createDataFrame([(i,) for i in ids], "r string").select(X.run_metadata(F.col("r"))).collect()]
     assert got == [("attack", "CVE-2017-7308", "poc_cfh_combo", None), ("normal", "CVE-2017-7308", None, "idle"), ("normal", "CVE-2017-7308", None, "net_busy")]
-    for d, c, r in (("a", '{"model": "m", "seed": 1}', '{"roc_auc": 0.5}'), ("b", "{", '{"roc_auc": 0.5}'), ("c", '{"model": "m"}', "")):
+    level = '{"run_level": {"roc_auc": 0.5, "f1_at_threshold": NaN, "fpr_at_threshold": 1}, "counts": {"test_normal_runs": 7}}'
+    for d, c, r in (("a", '{"model": "m", "seed": 1}', level), ("b", "{", level), ("c", '{"model": "m"}', ""), ("d", '{"held_out_cve": "CVE-1"}', '{"run_level": null}')):
         os.makedirs(tmp_path / d)
         (tmp_path / d / "experiment_config.json").write_text(c)
-        (tmp_path / d / "report.json").write_text(r)
-    assert U.comparison(U.read_reports(spark, str(tmp_path))).first().roc_auc == "0.5000" and U.read_reports(spark, str(tmp_path)).count() == 1
+        (tmp_path / d / "evaluation_report.json").write_text(r)
+        (tmp_path / d / "other.json").write_text('{"run_level": {"roc_auc": 0.9}}')
+    reports = U.read_reports(spark, str(tmp_path))
+    assert [tuple(r) for r in U.comparison(reports).collect()] == [("?", "", "CVE-1", *[""] * 8), ("m", "1", "-", "0.5000", "", "", "", "1.0000", "7", "", "")]
+    assert U.read_reports(spark, str(tmp_path), ["m"]).count() == 1
+    with pytest.raises(ValueError):
+        U.markdown(spark.range(3), limit=2)
     assert U.markdown(spark.createDataFrame([(1, None)], "a int, b string")) == "| a | b |\n| --- | --- |\n| 1 |  |"
     target = str(tmp_path / "out")
     U.write_table(spark.range(1), target)

@@ -213,10 +213,15 @@ def auc_pivot(spark, sf_dir):
 
 
 def comparison_table(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    bal = F.when(F.col("c_custkey") % 7 == 0, F.lit(None)).otherwise(F.col("c_acctbal"))
-    r = c.select(F.concat(F.lit("model"), (F.col("c_custkey") % 4).cast("string")).alias("model"), F.col("c_name").alias("held_out_cve"), F.col("c_custkey").alias("seed"), bal.alias("roc_auc"), *[F.lit(0.5).alias(x) for x in ("precision", "recall", "f1", "fpr")], F.lit(None).cast("long").alias("test_normal_runs"), F.lit(3).cast("long").alias("attack_runs"), F.lit(float("nan")).alias("threshold"))
-    return U.comparison(r)
+    """A configuration and a report for each customer, as the files' texts; some reports are cut off and left out."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    family = F.when(key % 5 != 0, F.col("c_name")).otherwise("")
+    config = F.to_json(F.struct(F.concat(F.lit("model"), (key % 4).cast("string")).alias("model"), key.alias("seed"), family.alias("held_out_cve")))
+    level = F.struct(F.when(key % 7 != 0, F.col("c_acctbal")).alias("roc_auc"), F.lit(0.5).alias("precision_at_threshold"), F.lit(0.25).alias("recall_at_threshold"), (F.col("c_acctbal") / 2).alias("f1_at_threshold"))
+    report = F.to_json(F.struct(level.alias("run_level"), F.struct(key.alias("test_normal_runs"), F.lit(3).alias("attack_runs_total")).alias("counts")))
+    report = F.when(key % 11 == 0, F.left(report, F.length(report) - 1)).otherwise(report)
+    rows = lambda name, value: c.select(key.cast("string").alias("dir"), F.lit(name).alias("file"), value.alias("value"))
+    return U.comparison(U.reports_of(rows(U.CONFIG_FILE, config).union(rows(U.REPORT_FILE, report))))
 
 
 def trace_bounds(spark, sf_dir):
@@ -355,7 +360,7 @@ QUERIES = {
     "run_registry": (run_registry, "WITH m AS (SELECT o_orderkey % 5000 AS k, CASE WHEN o_orderstatus = 'F' THEN 'invalid' ELSE 'valid' END AS status FROM orders), r AS (SELECT k, min(status) AS status FROM m GROUP BY 1) SELECT 'CVE-' || (k % 3) AS cve, CASE WHEN k % 4 = 0 THEN 'attack' ELSE 'normal' END AS class, count(*) AS total, count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status <> 'valid') AS invalid, array_to_string(list_sort(list_distinct(list('v' || (k % 6)))), ',') AS variants FROM r GROUP BY 1, 2"),
     "outcome_rollup": (outcome_rollup, "SELECT CASE event_type WHEN 'click' THEN 'success' WHEN 'error' THEN 'panic' WHEN 'view' THEN 'timeout' WHEN 'signup' THEN 'timeout' ELSE event_type END AS outcome, count(*) AS n FROM events GROUP BY 1"),
     "auc_pivot": (auc_pivot, f"WITH {SCORED.replace('d.doc_id,', 'd.doc_id, d.lang || chr(47) || (d.doc_id % 3) AS tm,')}, {_auc('tm')} SELECT split_part(tm, '/', 1) AS tag, {', '.join(f'max(round(roc_auc, 6)) FILTER (split_part(tm, chr(47), 2) = {chr(39)}{i}{chr(39)}) AS m{i}' for i in range(3))} FROM m GROUP BY 1"),
-    "comparison_table": (comparison_table, "SELECT 'model' || (c_custkey % 4) AS model, c_name AS held_out_cve, CAST(c_custkey AS VARCHAR) AS seed, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE printf('%.4f', c_acctbal) END AS roc_auc, '0.5000' AS precision, '0.5000' AS recall, '0.5000' AS f1, '0.5000' AS fpr, '' AS test_normal_runs, '3' AS attack_runs, '' AS threshold FROM customer"),
+    "comparison_table": (comparison_table, "SELECT 'model' || (c_custkey % 4) AS model, CAST(c_custkey AS VARCHAR) AS seed, CASE WHEN c_custkey % 5 = 0 THEN '-' ELSE c_name END AS held_out_cve, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE printf('%.4f', c_acctbal) END AS run_auc, '0.5000' AS run_precision, '0.2500' AS run_recall, printf('%.4f', c_acctbal / 2) AS run_f1, '' AS run_fpr, CAST(c_custkey AS VARCHAR) AS test_normal_runs, '3' AS attack_runs_total, '' AS attack_runs_no_spray_sequence FROM customer WHERE c_custkey % 11 <> 0"),
     "trace_bounds": (trace_bounds, f"WITH {EV} SELECT run_id, arg_min(timestamp_ns, seq) AS first_ns, arg_max(timestamp_ns, seq) AS last_ns FROM ev GROUP BY 1"),
     "marker_intervals": (marker_intervals, "WITH m AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS ns, CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END AS s FROM events WHERE event_type IN ('signup', 'error') AND event_id % 40 < 8), d AS (SELECT *, sum(s) OVER w AS depth, max(CASE WHEN s = 1 THEN ns END) OVER w AS opened FROM m WINDOW w AS (PARTITION BY run_id ORDER BY ns)) SELECT run_id, min(depth) >= 0 AND arg_max(depth, ns) = 0 AND arg_min(s, ns) = 1 AND arg_max(s, ns) = -1 AND count(*) FILTER (s = -1 AND NOT coalesce(ns > opened, false)) = 0 AS ok, min(ns) AS start_ns, max(ns) AS end_ns, CASE WHEN arg_max(s, ns) = 1 THEN 'SPRAY_START' ELSE 'SPRAY_END' END AS last_name FROM d GROUP BY 1"),
     "mean_cpu": (mean_cpu, "SELECT round(sum(list_sum([abs(CAST(x AS DOUBLE)) FOR x IN embedding])) / (count(*) * 4), 6) AS mean_usage FROM embeddings"),

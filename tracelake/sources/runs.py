@@ -90,24 +90,42 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-REPORT_COLUMNS = ("model", "held_out_cve", "seed", "roc_auc", "precision", "recall", "f1", "fpr", "test_normal_runs", "attack_runs", "threshold")
+# The names of the report files and, by column of the comparison, the report's groups and fields.
+CONFIG_FILE, REPORT_FILE = "experiment_config.json", "evaluation_report.json"
+REPORT_METRICS = {"run_auc": "roc_auc", "run_precision": "precision_at_threshold", "run_recall": "recall_at_threshold", "run_f1": "f1_at_threshold", "run_fpr": "fpr_at_threshold"}
+REPORT_COUNTS = ("test_normal_runs", "attack_runs_total", "attack_runs_no_spray_sequence")
 
 
-def read_reports(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """Configurations joined to the reports in their folders; files that do not parse or lack the other are left out."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
-    rows = files.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("dir"), F.col("_metadata.file_name").alias("file"), "value")
-    config = rows.filter("file = 'experiment_config.json'").select("dir", F.from_json("value", "model string, held_out_cve string, seed long").alias("c")).filter("c.model is not null")
-    metric = "roc_auc double, precision double, recall double, f1 double, fpr double, test_normal_runs long, attack_runs long, threshold double"
-    report = rows.filter("file <> 'experiment_config.json'").select("dir", F.from_json("value", metric).alias("r")).filter("r.roc_auc is not null")
-    out = config.join(report, "dir").select("dir", "c.*", "r.*")
-    return out.filter(F.col("model") == model) if model else out
+def reports_of(files: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """dir, model, seed, held_out_cve, the metrics and counts of folders whose configuration and report both parse.
+
+    ``files``: dir, file, value. A missing model is ``?``, a missing family ``-``.
+    """
+    def parsed(file: str, shape: str) -> DataFrame:
+        value = F.from_json("value", shape + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
+        return files.filter(F.col("file") == file).select("dir", value.alias("v")).filter("v is not null and v._broken is null")
+
+    config = parsed(CONFIG_FILE, "model string, held_out_cve string, seed string").select(
+        "dir", F.coalesce("v.model", F.lit("?")).alias("model"), F.coalesce("v.seed", F.lit("")).alias("seed"),
+        F.coalesce(F.when(F.col("v.held_out_cve") != "", F.col("v.held_out_cve")), F.lit("-")).alias("held_out_cve"),
+    )
+    shape = f"run_level struct<{', '.join(f'{v}: double' for v in REPORT_METRICS.values())}>, counts struct<{', '.join(f'{c}: string' for c in REPORT_COUNTS)}>"
+    report = parsed(REPORT_FILE, shape).select("dir", *[F.col(f"v.run_level.{v}").alias(c) for c, v in REPORT_METRICS.items()], *[F.col(f"v.counts.{c}") for c in REPORT_COUNTS])
+    out = config.join(report, "dir")
+    return out.filter(F.col("model").isin(models)) if models else out
+
+
+def read_reports(spark: SparkSession, path: str, models: list[str] | None = None) -> DataFrame:
+    """``reports_of`` the folders in ``path``."""
+    files = spark.read.option("pathGlobFilter", "*.json").option("wholetext", "true").text(f"{path.rstrip('/')}/*")
+    return reports_of(files.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("dir"), F.col("_metadata.file_name").alias("file"), "value"), models)
 
 
 def comparison(reports: DataFrame) -> DataFrame:
     """The comparison table as text: four decimals, empty where missing, by model and family."""
-    text = lambda c: safe_number(F.col(c)) if c in ("roc_auc", "precision", "recall", "f1", "fpr", "threshold") else F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return reports.select(*[text(c).alias(c) for c in REPORT_COLUMNS]).orderBy("model", "held_out_cve")
+    return reports.select(
+        "model", "seed", "held_out_cve", *[safe_number(F.col(c)).alias(c) for c in REPORT_METRICS], *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in REPORT_COUNTS]
+    ).orderBy("model", "held_out_cve")
 
 
 def experiment_tags(names: DataFrame, tags: list[str], models: list[str]) -> DataFrame:
@@ -123,8 +141,10 @@ def auc_pivot(rows: DataFrame, models: list[str]) -> DataFrame:
 
 
 def markdown(table: DataFrame, limit: int = 1000) -> str:
-    """A small report table as Markdown (a report has tens of rows; ``limit`` guards the driver)."""
-    rows = table.limit(limit).collect()
+    """A small report table as Markdown. A report has tens of rows; one of more than ``limit`` is an error, not cut."""
+    rows = table.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows is no small table")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(table.columns), line(["---"] * len(table.columns)), *(line(r) for r in rows)])
 

@@ -10,13 +10,9 @@ from pyspark.sql import functions as F
 
 from tracelake import schema as S
 
-# Fixed patterns: the kernel's text formats of allocation, free, marker and probe lines.
-ALLOC_LINE = r"^\s*(.+?)-(\d+)\s+\[(\d+)\]\s+.*?\s+(\d+\.\d+):\s+kmalloc:\s+call_site=([0-9a-fx]+)\s+ptr=([0-9a-fx]+)\s+bytes_req=(\d+)\s+bytes_alloc=(\d+)\s+gfp_flags=(\S+)"
-FREE_LINE = r"^\s*(.+?)-(\d+)\s+\[(\d+)\]\s+.*?\s+(\d+\.\d+):\s+kfree:\s+call_site=([0-9a-fx]+)\s+ptr=([0-9a-fx]+)"
-PROBE_LINE = r"^(\d+),(\d+),(\d+),(.*?),(ALLOC|FREE),([0-9a-fx]+),(\d+),(\d+),([0-9a-fx]+)"
-MARKER_LINE = r"^\s*.+?\s+\[\d+\]\s+.*?\s+(\d+\.\d+):\s+tracing_mark_write\S*\s+\S+:\s+(SPRAY_START|SPRAY_END)"
-OVERRUN_LINE = r"^overrun:\s+(\d+)"
-SLAB_LINE = r"kmalloc-(\d+): (\d+)"
+# Names of the kernel's events and of the fields of their lines, and of the markers.
+ALLOC_FIELDS = ("call_site", "ptr", "bytes_req", "bytes_alloc", "gfp_flags")
+FREE_FIELDS = ("call_site", "ptr")
 MARKERS = ("SPRAY_START", "SPRAY_END")
 
 
@@ -44,26 +40,86 @@ def _ns(seconds: Column) -> Column:
     return (seconds.cast("double") * F.lit(1e9)).cast("long")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Events of ``lines`` (run_id, block, line_id, line). A run's first line that fits a grammar fixes the grammar of the run."""
-    raw = lines.withColumn("line", stripped(F.col("line"))).filter((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
-    order = F.struct("block", "line_id")
-    kind = F.when(F.col("line").rlike(PROBE_LINE), "probe").when(F.col("line").rlike(ALLOC_LINE), "alloc").when(F.col("line").rlike(FREE_LINE), "free")
-    kinds = raw.withColumn("kind", kind).filter("kind is not null")
-    formats = kinds.groupBy("run_id").agg((F.min_by("kind", order) == "probe").alias("probe"))
-    rows = kinds.join(formats, "run_id").filter((F.col("kind") == "probe") == F.col("probe"))
+def _only(c: Column, signs: str) -> Column:
+    """Whether the text is not empty and made of ``signs`` alone."""
+    return (c != "") & (F.translate(c, signs, "") == "")
+
 
-    def text(i_alloc: int, i_free: int | None, i_probe: int) -> Column:
-        pick = lambda p, i: F.regexp_extract("line", p, i)
-        out = F.when(F.col("kind") == "alloc", pick(ALLOC_LINE, i_alloc)).when(F.col("kind") == "probe", pick(PROBE_LINE, i_probe))
-        return out.when(F.col("kind") == "free", pick(FREE_LINE, i_free) if i_free else F.lit("0"))
+def _digits(c: Column) -> Column:
+    return _only(c, "0123456789")
 
-    stamp = F.when(F.col("kind") == "probe", F.try_to_number(F.regexp_extract("line", PROBE_LINE, 1), F.lit("9" * 19)).cast("long")).otherwise(_ns(F.when(F.col("kind") == "alloc", F.regexp_extract("line", ALLOC_LINE, 4)).otherwise(F.regexp_extract("line", FREE_LINE, 4))))
+
+def _address(c: Column) -> Column:
+    return _only(c, "0123456789abcdefx")
+
+
+def _head(text: Column) -> Column:
+    """task, pid, cpu and stamp of a line's head ``task-pid [cpu] flags stamp``; null if it is none."""
+    words, rest = F.split(F.rtrim(text), r"\s+"), F.substring_index(text, " [", -1)
+    task = F.rtrim(F.left(text, F.length(text) - F.length(rest) - 2))
+    pid = F.substring_index(task, "-", -1)
+    out = F.struct(
+        F.left(task, F.length(task) - F.length(pid) - 1).alias("task"), pid.alias("pid"), F.substring_index(rest, "]", 1).alias("cpu"), F.get(words, F.size(words) - 1).alias("stamp"),
+    )
+    parts = F.split(out["stamp"], r"\.")
+    good = F.contains(text, F.lit(" [")) & (out["task"] != "") & _digits(out["pid"]) & _digits(out["cpu"]) & (F.size(parts) == 2) & _digits(F.get(parts, F.lit(0))) & _digits(F.get(parts, F.lit(1)))
+    return F.when(good, out)
+
+
+def _split_at(line: Column, event: str) -> tuple[Column, Column]:
+    """What stands before ``: event`` in a line, and the words after it; null where the line has no such event."""
+    there = F.contains(line, F.lit(f": {event}"))
+    return F.when(there, F.substring_index(line, f": {event}", 1)), F.split(F.when(there, F.substring(line, F.locate(f": {event}", line) + len(event) + 2, F.length(line))), r"\s+")
+
+
+def _fields(words: Column, names: tuple[str, ...]) -> Column:
+    """The values of ``name=value`` words as a struct."""
+    value = lambda n: F.substring(F.get(F.filter(words, lambda w: w.startswith(f"{n}=")), F.lit(0)), F.lit(len(n) + 2), F.length(F.array_join(words, " ")))
+    return F.struct(*[value(n).alias(n) for n in names])
+
+
+def _kernel_event(line: Column, event: str, names: tuple[str, ...]) -> Column:
+    """Head and fields of a kernel line of ``event``, or null."""
+    before, words = _split_at(line, f"{event}: ")
+    head, own = _head(before), _fields(words, names)
+    good = head.isNotNull() & _address(own["call_site"]) & _address(own["ptr"])
+    if "bytes_req" in names:
+        good = good & _digits(own["bytes_req"]) & _digits(own["bytes_alloc"]) & (own["gfp_flags"] != "")
+    return F.when(good, F.struct(head.alias("head"), own.alias("own")))
+
+
+def _probe_event(line: Column) -> Column:
+    """The fields of a comma-separated probe line, or null; commas inside the task's name stay."""
+    parts = F.split(line, ",")
+    at = lambda k: F.get(parts, k)
+    fits = lambda k: at(k).isin("ALLOC", "FREE") & _address(at(k + 1)) & _digits(at(k + 2)) & _digits(at(k + 3)) & _address(at(k + 4))
+    op = F.when(F.size(parts) >= 9, F.get(F.filter(F.sequence(F.lit(4), F.greatest(F.size(parts) - 5, F.lit(4))), fits), F.lit(0)))
+    good = _digits(at(F.lit(0))) & _digits(at(F.lit(1))) & _digits(at(F.lit(2))) & op.isNotNull()
+    return F.when(good, F.struct(
+        at(F.lit(0)).alias("stamp"), at(F.lit(1)).alias("pid"), at(F.lit(2)).alias("tid"), F.array_join(F.slice(parts, F.lit(4), op - 3), ",").alias("task"), at(op).alias("op"),
+        at(op + 1).alias("ptr"), at(op + 2).alias("bytes_req"), at(op + 3).alias("bytes_alloc"), at(op + 4).alias("call_site"),
+    ))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Events of ``lines`` (run_id, block, line_id, line). A run's first line that fits a grammar fixes the grammar of the run."""
+    line = F.col("line")
+    raw = lines.withColumn("line", stripped(line)).filter((line != "") & ~F.startswith("line", F.lit("#")))
+    read = raw.select("run_id", "block", "line_id", _probe_event(line).alias("p"), _kernel_event(line, "kmalloc", ALLOC_FIELDS).alias("a"), _kernel_event(line, "kfree", FREE_FIELDS).alias("f"))
+    read = read.filter(F.coalesce(F.col("p").isNotNull() | F.col("a").isNotNull() | F.col("f").isNotNull(), F.lit(False)))
+    probe = F.col("p").isNotNull()
+    formats = read.groupBy("run_id").agg(F.min_by(probe, F.struct("block", "line_id")).alias("probes"))
+    rows = read.join(formats, "run_id").filter(probe == F.col("probes"))
+    either = lambda of_probe, of_kernel: F.when(F.col("probes"), of_probe).otherwise(of_kernel)
+    kernel = lambda c: F.coalesce(f"a.head.{c}", f"f.head.{c}")
+    zero = F.lit("0")
     events = rows.select(
-        "run_id", "block", "line_id", stamp.alias("timestamp_ns"), text(2, 2, 2).cast("long").alias("pid"), text(2, 2, 3).cast("long").alias("tid"),
-        F.when(F.col("kind") == "probe", 0).otherwise(text(3, 3, 1).try_cast("int")).alias("cpu"), stripped(text(1, 1, 4)).alias("comm"),
-        F.when(F.col("kind") == "alloc", "ALLOC").when(F.col("kind") == "free", "FREE").otherwise(F.regexp_extract("line", PROBE_LINE, 5)).alias("op"),
-        text(6, 6, 6).alias("ptr"), text(7, None, 7).cast("long").alias("bytes_req"), text(8, None, 8).cast("long").alias("bytes_alloc"), text(5, 5, 9).alias("call_site"),
+        "run_id", "block", "line_id", either(F.col("p.stamp").try_cast("long"), _ns(kernel("stamp"))).alias("timestamp_ns"),
+        either(F.col("p.pid"), kernel("pid")).cast("long").alias("pid"), either(F.col("p.tid"), kernel("pid")).cast("long").alias("tid"),
+        either(F.lit(0), kernel("cpu").try_cast("int")).alias("cpu"), stripped(either(F.col("p.task"), kernel("task"))).alias("comm"),
+        either(F.col("p.op"), F.when(F.col("a").isNotNull(), "ALLOC").otherwise("FREE")).alias("op"), either(F.col("p.ptr"), F.coalesce("a.own.ptr", "f.own.ptr")).alias("ptr"),
+        either(F.col("p.bytes_req"), F.coalesce(F.col("a.own.bytes_req"), zero)).cast("long").alias("bytes_req"), either(F.col("p.bytes_alloc"), F.coalesce(F.col("a.own.bytes_alloc"), zero)).cast("long").alias("bytes_alloc"),
+        either(F.col("p.call_site"), F.coalesce("a.own.call_site", "f.own.call_site")).alias("call_site"),
     )
     return with_seq(events)
 
@@ -77,15 +133,17 @@ def with_seq(events: DataFrame) -> DataFrame:
 def markers(lines: DataFrame) -> DataFrame:
     """run_id, spray_start_ns, spray_end_ns: the last marker of each name in a run."""
     order = F.struct("block", "line_id")
-    found = lines.withColumn("name", F.regexp_extract("line", MARKER_LINE, 2)).filter("name <> ''").withColumn("ns", _ns(F.regexp_extract("line", MARKER_LINE, 1)))
     last = lambda m: F.max_by(F.when(F.col("name") == m, F.col("ns")), F.when(F.col("name") == m, order))
-    return found.groupBy("run_id").agg(last("SPRAY_START").alias("spray_start_ns"), last("SPRAY_END").alias("spray_end_ns"))
+    return marker_list(lines).groupBy("run_id").agg(last("SPRAY_START").alias("spray_start_ns"), last("SPRAY_END").alias("spray_end_ns"))
 
 
 def marker_list(lines: DataFrame) -> DataFrame:
-    """run_id, name, ns, block, line_id of every marker."""
-    found = lines.withColumn("name", F.regexp_extract("line", MARKER_LINE, 2)).filter("name <> ''")
-    return found.select("run_id", "name", _ns(F.regexp_extract("line", MARKER_LINE, 1)).alias("ns"), "block", "line_id")
+    """run_id, name, ns, block, line_id of every marker: a word that begins with its name, after the writer's function, in a line of the trace."""
+    before, words = _split_at(F.col("line"), "tracing_mark_write")
+    said = F.get(words, F.lit(2))
+    name = F.when(F.get(words, F.lit(1)).endswith(":"), F.when(F.startswith(said, F.lit(MARKERS[0])), MARKERS[0]).when(F.startswith(said, F.lit(MARKERS[1])), MARKERS[1]))
+    found = lines.select("run_id", name.alias("name"), _head(before).alias("head"), "block", "line_id").filter("name is not null and head is not null")
+    return found.select("run_id", "name", _ns(F.col("head.stamp")).alias("ns"), "block", "line_id")
 
 
 def validated_markers(found: DataFrame) -> DataFrame:
@@ -134,10 +192,16 @@ def validate_traces(events: DataFrame, found: DataFrame, runs: DataFrame, minimu
     return rows.select("run_id", "event_count", reason.alias("reason"))
 
 
+def _leading(c: Column) -> Column:
+    """The digits that a text begins with, as a number, or null."""
+    return F.substring(c, F.lit(1), F.length(c) - F.length(F.ltrim(c, F.lit("0123456789")))).try_cast("long")
+
+
 def overruns(lines: DataFrame) -> DataFrame:
     """Lost events of each run, summed over processors."""
-    n = F.regexp_extract(stripped(F.col("line")), OVERRUN_LINE, 1)
-    return lines.withColumn("n", n).filter("n <> ''").groupBy("run_id").agg(F.sum(F.col("n").cast("long")).alias("overrun"))
+    words = F.split(stripped(F.col("line")), r"\s+")
+    n = F.when(F.get(words, F.lit(0)) == "overrun:", _leading(F.get(words, F.lit(1))))
+    return lines.withColumn("n", n).filter("n is not null").groupBy("run_id").agg(F.sum("n").alias("overrun"))
 
 
 def run_validity(checked: DataFrame, lost: DataFrame) -> DataFrame:
@@ -146,9 +210,11 @@ def run_validity(checked: DataFrame, lost: DataFrame) -> DataFrame:
 
 
 def slab_usage(lines: DataFrame) -> DataFrame:
-    """run_id, size, usage: the last usage of each object size."""
-    rows = lines.withColumn("size", F.regexp_extract("line", SLAB_LINE, 1)).filter("size <> ''")
-    return rows.groupBy("run_id", F.col("size").cast("long").alias("size")).agg(F.max_by(F.regexp_extract("line", SLAB_LINE, 2).cast("long"), F.struct("block", "line_id")).alias("usage"))
+    """run_id, size, usage: the last usage of each object size, from ``kmalloc-size: usage``."""
+    pair = F.split(F.get(F.split("line", "kmalloc-"), F.lit(1)), ": ", 2)
+    size = F.when(_digits(F.get(pair, F.lit(0))), F.get(pair, F.lit(0)).try_cast("long"))
+    rows = lines.select("run_id", "block", "line_id", size.alias("size"), _leading(F.get(pair, F.lit(1))).alias("n")).filter("size is not null and n is not null")
+    return rows.groupBy("run_id", "size").agg(F.max_by("n", F.struct("block", "line_id")).alias("usage"))
 
 
 def write_events(events: DataFrame, path: str, csv: bool = False) -> None:

@@ -15,7 +15,7 @@ linked pair has in common is never left out, so no link is lost, and what many t
 makes no large groups. Documents are then grouped by hub instead of by key: a pair meets once for a hub,
 not once for each of its keys.
 
-Each document is verified against its best hub, judged by Hamming distance of 512-bit sketches. Groups whose
+Each document is verified against its best hub, judged by Hamming distance of 2048-bit sketches. Groups whose
 documents are still in different components are compared inside tasks, in blocks of ``BLOCK_ROWS`` sketches:
 each document emits its k nearest candidates in each other component, these are verified, and components merge.
 A group with more candidates comes again with eight times k; all others are done. Verification counts
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import ascii_lower, byte_chunks, discard, free_name, keyed_multipliers, materialise, mix64, table, text_of, utf8, word_codes, word_spans
 
 BATCH_BYTES = 2 << 20
-SKETCH_WORDS = 8
+SKETCH_WORDS = 32
 #: Documents of a key that are linked to their hub at once; of larger keys each document leaves its most frequent out.
 HOT = 64
 #: Sketches of a group that one task compares with each other or with another such block.
@@ -132,7 +132,7 @@ class Bands:
 
 
 def sketch(codes: np.ndarray) -> np.ndarray:
-    """512 parities: bit i is the parity of the shingles that hash to it."""
+    """2048 parities: bit i is the parity of the shingles that hash to it."""
     bits = np.bincount((codes & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 

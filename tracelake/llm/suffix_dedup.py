@@ -36,8 +36,8 @@ from tracelake.llm.common import byte_chunks, discard, materialise, rolling, spa
 
 LENGTH = 400
 ANCHOR = 160
-CHUNK_BYTES = 2 << 20
-SHARD_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Different contexts of an anchor that are sorted together; those of larger groups are split by the anchor's place.
 BLOCK_CONTEXTS = 200
 STEP = 16

@@ -70,6 +70,13 @@ def test_groups_in_blocks(spark, near, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.linked_components(df, n=4, num=85).collect()) == brute_components(near, 4, 85, 100)
 
 
+def test_pairs_in_tiles(spark, near, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 100)  # a block of two or three documents
+    df = spark.createDataFrame(near, "doc_id long, text string").repartition(3)
+    for n, num in ((4, 85), (3, 50)):
+        assert sorted(tuple(r) for r in jaccard.linked_components(df, n=n, num=num).collect()) == brute_components(near, n, num, 100)
+
+
 def test_frequent_keys_are_left_out(spark, near, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 2)
     df = spark.createDataFrame(near, "doc_id long, text string").repartition(4)

@@ -19,7 +19,7 @@ Each document is verified against its best hub, judged by Hamming distance of 20
 documents are still in different components are compared inside tasks, in blocks of ``BLOCK_ROWS`` sketches:
 each document emits its k nearest candidates in each other component, these are verified, and components merge.
 A group with more candidates comes again with eight times k; all others are done. Verification counts
-common shingles exactly.
+common shingles exactly; a hub's pairs are cut into tiles, and a set is sent once to each tile that needs it.
 
 Words are runs of other signs than the six ASCII white-space characters, ASCII letters lower-cased; fewer
 words than a shingle make one shingle of all. Words are told apart by their bytes; their codes are keyed
@@ -51,6 +51,10 @@ BLOCK_ROWS = 4096
 PAIRS = 1 << 17
 #: Ids of documents that may be broadcast (about 50 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
+#: Shingles (8 bytes each) of a block of documents; a task that verifies pairs holds the sets of two blocks.
+TILE = 1 << 20
+#: Shingles that are looked up in a set at once.
+COMPARED = 1 << 18
 
 _FOLD = ascii_lower()
 _IS_WORD = np.ones(256, bool)
@@ -273,9 +277,57 @@ def among(docs: DataFrame, ids: DataFrame, how: str, on: list[str]) -> DataFrame
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, key: bytes) -> DataFrame:
-    """(a, b, linked) for distinct ``pairs`` (a, b), from the exact shingle sets of the texts of ``docs`` (id, text)."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
+def _compare(num: int, den: int):
+    """(a, b, linked) of rows (hub, i, j, id, s, partners) sorted by (hub, i, j): each id's set against its partners' in the tile."""
+
+    def judge(sets: dict, partners: dict) -> Iterator[pa.RecordBatch]:
+        for a, own in partners.items():
+            sa, at = sets[a], 0
+            while at < len(own):
+                some, size = [], 0
+                while at < len(own) and (not some or size < COMPARED):
+                    some.append(sets[own[at]])
+                    size += len(some[-1])
+                    at += 1
+                flat = np.concatenate(some)
+                place = np.searchsorted(sa, flat)
+                hit = sa[np.minimum(place, len(sa) - 1)] == flat
+                sizes = np.array([len(s) for s in some])
+                common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), a)), pa.array(own[at - len(some) : at]), pa.array(common * (den + num) >= (sizes + len(sa)) * num)], names=["a", "b", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sets, partners = None, {}, {}
+        for batch in batches:
+            ids, s, others = batch.column("id").to_numpy(), batch.column("s"), batch.column("partners")
+            ends, values = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
+            cuts, towards = others.offsets.to_numpy(), others.values.to_numpy()
+            for k, at in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j")))):
+                if at != tile:
+                    yield from judge(sets, partners)
+                    tile, sets, partners = at, {}, {}
+                if ids[k] in sets:  # a repeated row
+                    continue
+                sets[ids[k]] = values[ends[k] : ends[k + 1]].copy()
+                if cuts[k + 1] > cuts[k]:
+                    partners[ids[k]] = towards[cuts[k] : cuts[k + 1]].copy()
+        yield from judge(sets, partners)
+
+    return run
+
+
+def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, n: int, num: int, den: int, key: bytes) -> DataFrame:
+    """(a, b, linked) for distinct pairs (a, b) of ``pairs`` (hub, a, b), from the exact shingle sets of the texts of ``docs`` (id, text).
+
+    A hub's documents are dealt to blocks of about ``TILE`` shingles (``info``: id, n) and its pairs to tiles of two blocks. A set is
+    shuffled once for each tile that needs it, not once for each pair, and a task holds the sets of one tile.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = materialise(pairs.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-members")
+    ids = materialise(members.select("id").distinct(), "jaccard-ids")
+    sizes = members.join(info.select("id", "n"), "id").groupBy("hub").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("blocks")).filter("blocks > 1")
+    sizes = materialise(sizes, "jaccard-blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in byte_chunks(batches, "text", BATCH_BYTES):
@@ -284,17 +336,16 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, key:
             flat = np.concatenate(each).view(np.int64)
             yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "s"])
 
-    wanted = among(docs, ids, "left_semi", ["id"]).select("id", "text")
-    found = materialise(wanted.mapInArrow(sets, "id long, s array<long>"), "jaccard-sets")
-    one, two = found.select(F.col("id").alias("a"), F.col("s").alias("sa")), found.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    out = materialise(
-        pairs.select("a", "b").join(one, "a").join(two, "b")
-        .select("a", "b", (common * (den + num) >= (F.size("sa") + F.size("sb")) * num).alias("linked"))
-        .groupBy("a", "b").agg(F.bool_or("linked").alias("linked")), "jaccard-checked",
-    )
-    discard(found)
-    discard(ids)
+    block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = pairs.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "hub", "left").select("hub", block("a").alias("i"), block("b").alias("j"), "a", "b")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.lit(None).cast("long").alias("to"))))
+    # a document's partners in a tile are documents of one block, so their list is bounded by the block
+    needs = dealt.select("hub", "i", "j", ends.alias("x")).groupBy("hub", "i", "j", "x.id").agg(F.collect_list("x.to").alias("partners"))
+    found = among(docs, ids, "left_semi", ["id"]).select("id", "text").mapInArrow(sets, "id long, s array<long>")
+    tiles = needs.join(found, "id").select("hub", "i", "j", "id", "s", "partners").repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    out = materialise(tiles.mapInArrow(_compare(num, den), "a long, b long, linked boolean"), "jaccard-checked")
+    for done in (members, ids, sizes):
+        discard(done)
     return out
 
 
@@ -433,8 +484,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     of = lambda side: info.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch")])
     measured = stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).join(of("b"), "b").join(of("a"), "a").withColumn("d", hamming(F.col("sketch_a"), F.col("sketch_b")))
     measured = measured.filter(may_link(F.col("n_a"), F.col("n_b"), F.col("d"), num, den))
-    best = materialise(measured.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b"), "jaccard-best")
-    tested = verified(best, chosen, n, num, den, key)
+    best = materialise(measured.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("hub"), "x.a", "b"), "jaccard-best")
+    tested = verified(best, chosen, info, n, num, den, key)
     discard(best)
     roots = components(tested.filter("linked"))
 
@@ -449,9 +500,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
         rows = rows.select("hub", F.least("side", "other").cast("long").alias("i"), F.greatest("side", "other").cast("long").alias("j"), "side", "id", "comp", "n", "sketch")
         found = rows.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id").mapInArrow(_cross(num, den, k), "hub long, a long, b long, more boolean")
         found = materialise(found, "jaccard-found")
-        pairs = materialise(found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+        pairs = materialise(found.groupBy("a", "b").agg(F.min("hub").alias("hub")).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
         if pairs.limit(1).count():
-            fresh = verified(pairs, chosen, n, num, den, key)
+            fresh = verified(pairs, chosen, info, n, num, den, key)
             links = fresh.filter("linked").select("a", "b")
             if links.limit(1).count():
                 merged = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(links))

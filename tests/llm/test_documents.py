@@ -124,10 +124,56 @@ def test_tool_calls(spark):
     assert {k: (r.level, r.linked, r.valid) for k, r in got.items()} == {"a": (0, True, True), "b": (1, False, False), "c": (2, False, False), "d": (None, False, False), "e": (None, False, False), None: (None, False, True)}
     assert got["a"].canonical == '{"arguments":{"text":"xé\\"\\n","turn":1},"id":"a","level":0,"name":"reply","result":"r1"}'
     assert tool_calls.link_calls(calls.limit(0), results, tool_calls.REPLY).count() == 0
+    twice = tool_calls.link_calls(calls.union(calls).withColumn("level", F.lit("own")).withColumn("content", F.lit("own")), results, tool_calls.REPLY)
+    assert twice.count() == 12 and {r.call_id: r.level for r in twice.collect()} == {k: r.level for k, r in got.items()}
     chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(70)], "call_id string, waits_for string")
     assert {int(r.call_id): r.level for r in tool_calls.levels(chain).collect()} == {i: i for i in range(70)}
 
 
+def plain_levels(waits):
+    """Levels by repeated peeling; ids left over lie on or behind cycles."""
+    known, out = {c: {w for w in ws if w in waits} for c, ws in waits.items()}, {}
+    while ready := [c for c in known if c not in out and all(w in out for w in known[c])]:
+        out |= {c: max([out[w] + 1 for w in known[c]], default=0) for c in ready}
+    return {c: out.get(c) for c in waits}
+
+
+@pytest.mark.parametrize("seed,back", [(1, 0.0), (2, 0.03), (3, 0.2)])
+def test_levels_with_several_dependencies(spark, seed, back):
+    rng = random.Random(seed)
+    waits = {}
+    for i in range(120):
+        pool = [str(rng.randrange(120)) if rng.random() < back else str(rng.randrange(max(0, i - 6), i)) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]) if i else 0)]
+        waits[str(i)] = set(pool)
+    rows = [(c, [*sorted(ws), None, "unknown"]) for c, ws in waits.items()] + [(None, ["1"]), ("0", None)]
+    # a repeated call adds its own dependencies
+    rows += [("119", ["5", "5"])]
+    waits["119"] = waits["119"] | {"5"}
+    got = tool_calls.levels(spark.createDataFrame(rows, "call_id string, waits_for array<string>")).collect()
+    assert len(got) == 120 and {r.call_id: r.level for r in got} == plain_levels(waits)
+
+
+def test_schemas_reach_into_objects_and_arrays(spark):
+    schemas = {
+        "t": {
+            "a.b": {"type": "integer", "required": True}, "it's \"x\"?": {"type": "string", "pattern": "^v[0-9]+$"},
+            "o": {"type": "object", "properties": {"k": {"type": "string", "required": True, "enum": ["x", "y"]}}},
+            "l": {"type": "array", "maxItems": 2, "items": {"type": "object", "additional": True, "properties": {"n": {"type": "number", "minimum": 0, "required": True}}}},
+        },
+        "none": {},
+    }
+    cases = [
+        ("t", '{"a.b":1}', True), ("t", '{"a":{"b":1}}', False), ("t", '{"a.b":"1"}', False), ("t", '{"a.b":null}', False), ("t", '{"a.b":1,"it\'s \\"x\\"?":"v12"}', True),
+        ("t", '{"a.b":1,"it\'s \\"x\\"?":"w"}', False), ("t", '{"a.b":1,"o":{"k":"x"}}', True), ("t", '{"a.b":1,"o":{"k":"z"}}', False), ("t", '{"a.b":1,"o":{"k":"x","q":1}}', False),
+        ("t", '{"a.b":1,"o":{}}', False), ("t", '{"a.b":1,"o":[1]}', False), ("t", '{"a.b":1,"l":[]}', True), ("t", '{"a.b":1,"l":[{"n":1.5},{"n":0,"z":[]}]}', True), ("t", '{"a.b":1,"l":[{"n":-1}]}', False),
+        ("t", '{"a.b":1,"l":[{"n":1},{"n":1},{"n":1}]}', False), ("t", '{"a.b":1,"l":[3]}', False), ("t", "[]", False), ("t", "null", False), ("t", None, False), ("t", "", False),
+        ("none", "{}", True), ("none", '{"x":1}', False), ("none", "1", False), ("u", "{}", False), (None, "{}", False),
+    ]
+    df = spark.createDataFrame([(i, n, a) for i, (n, a, _) in enumerate(cases)], "i long, name string, args string")
+    got = [r.ok for r in df.orderBy("i").select(tool_calls.valid_arguments(F.col("name"), F.col("args"), schemas).alias("ok")).collect()]
+    assert got == [ok for *_, ok in cases]
+
+
 def test_tool_query_agrees_with_sql(spark):
     import duckdb
 

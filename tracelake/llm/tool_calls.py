@@ -3,7 +3,8 @@
 Calls and results meet by a shuffled hash join on their identifier. Calls are ordered by level: a call that waits for
 no known call has level 0, others one more than the highest of the calls that they wait for. Calls with one dependency
 are brought to the call that their chain begins with by pointer doubling, so a chain of n calls takes log2(n) joins;
-calls with several are then peeled level by level, so the rounds are as many as such calls lie one behind the other.
+a dependency that another dependency of the same call waits for itself is left out first; calls that still have several
+are peeled level by level, so the rounds are as many as such calls lie one behind the other.
 Arguments are checked against schemas that are compiled to column expressions over the parsed value, nested objects and
 arrays included, and each linked call is written as canonical JSON: keys in order, no white space.
 
@@ -70,6 +71,24 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict[str, dict]) -
     return out.otherwise(F.lit(False))
 
 
+#: Dependencies of calls with more than these are not searched for needless ones; the levels are the same either way.
+REDUCED = 16
+
+
+def _needed(edges: DataFrame) -> DataFrame:
+    """``edges`` (call_id, up) without those that cannot decide a level: c -> d where c -> e and e -> d.
+
+    Only an e of a later name than d takes an edge away, so of calls on or behind a cycle the last dependency that is so
+    as well stays. Each edge meets at most REDUCED others.
+    """
+    degree = edges.groupBy("call_id").agg(F.count("*").alias("n")).filter(F.col("n") <= REDUCED)
+    several = edges.join(degree.filter("n > 1").select("call_id"), "call_id", "left_semi")
+    beyond = edges.join(degree.select("call_id"), "call_id", "left_semi").select(F.col("call_id").alias("e"), F.col("up").alias("d"))
+    late = lambda c: F.struct(F.length(F.col(c).cast("string")), F.col(c))
+    needless = several.join(beyond, (F.col("up") == F.col("e")) & (late("e") > late("d"))).select("call_id", F.col("d").alias("up"))
+    return edges.join(needless, ["call_id", "up"], "left_anti")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of the distinct ids of ``calls`` (call_id, waits_for: an id or an array of ids); null on and behind cycles."""
     spark = calls.sparkSession
@@ -77,7 +96,9 @@ def levels(calls: DataFrame) -> DataFrame:
     ids = known.select("call_id").distinct()
     up = F.explode("waits_for") if isinstance(calls.schema["waits_for"].dataType, T.ArrayType) else F.col("waits_for")
     edges = known.select("call_id", up.alias("up")).filter("up is not null").join(ids.select(F.col("call_id").alias("up")), "up", "left_semi")
-    edges = materialise(edges.select("call_id", "up").distinct(), "call-edges")
+    given = materialise(edges.select("call_id", "up").distinct(), "call-edges")
+    edges = materialise(_needed(given), "call-edges")
+    discard(given)
     counted = edges.groupBy(F.col("call_id").alias("c")).agg(F.count("*").alias("n"), F.min("up").alias("first"))
     one = F.coalesce(F.col("n") == 1, F.lit(False))
     # a call with none or several dependencies is a head; others point upwards until they point to one

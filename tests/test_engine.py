@@ -331,3 +331,13 @@ def test_streaming_resolution_equals_the_batch(spark, tmp_path):
     cols = ["seq", "size_resolved", "resolved_bytes_alloc", "object_lifetime_ns", "reclaim_from_free", "reclaim_cross_site"]
     want = resolve.resolve(e).select(*cols)
     assert sorted(map(str, spark.table("resolved").select(*cols).collect())) == sorted(map(str, want.collect()))
+
+
+def test_an_attack_run_without_a_sound_interval_is_an_error(spark):
+    runs = spark.createDataFrame([("a", True), ("b", False), ("c", False)], "run_id string, is_attack boolean")
+    found = lambda *rows: spark.createDataFrame(rows, "run_id string, spray_start_ns long, spray_end_ns long")
+    got = {r.run_id: (r.spray_start_ns, r.spray_end_ns) for r in TR.attack_intervals(runs, found(("a", 1, 2), ("b", 5, 5))).collect()}
+    assert got == {"a": (1, 2), "b": (5, 5), "c": (None, None)}
+    for wrong in (found(("b", 1, 2)), found(("a", 2, 2)), found(("a", None, 2))):
+        with pytest.raises(Exception, match="no sound interval"):
+            TR.attack_intervals(runs, wrong).collect()

@@ -6,6 +6,9 @@ the users. Stamps are minutes apart, so windows are ten minutes long and the oth
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder of ``spark.checkpoint.dir``; unset, a temporary one, but only where all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tracelake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     size = F.floor(F.col("value") * 20).cast("long")

@@ -77,6 +77,14 @@ def mean_cpu(spark_json: DataFrame, threads: int = 4) -> DataFrame:
     return spark_json.select(F.aggregate("usage", F.lit(0.0), lambda a, x: a + x).alias("u")).agg((F.sum("u") / (F.count("*") * threads)).alias("mean_usage"))
 
 
+def read_cpu(spark: SparkSession, path: str) -> DataFrame:
+    """usage of every sample of the JSON files below ``path``: a file is an array of records, a record's last item the shares of its processors."""
+    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    records = files.select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("r"))
+    last = F.try_element_at(F.try_variant_get("r", "$", "array<variant>"), F.lit(-1))
+    return records.select(F.try_variant_get(last, "$", "array<double>").alias("usage")).filter("usage is not null")
+
+
 def slab_rates(idle: DataFrame, busy: DataFrame, seconds: int = 3600, cpus: int = 4) -> DataFrame:
     """Allocations a second and processor by size, idle beside busy, and their logarithms."""
     rate = lambda c: F.col(c) / seconds / cpus

@@ -177,6 +177,23 @@ def interval(marked: DataFrame, manifests: DataFrame) -> DataFrame:
     return both.select("run_id", F.coalesce("m", "t").alias("x")).select("run_id", "x.*")
 
 
+def read_markers(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, spray_start_ns, spray_end_ns of marker files {"<run>.log": {"SPRAY_START": ns, "SPRAY_END": ns}}; a missing marker is null."""
+    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    own = F.from_json("value", f"map<string, struct<{', '.join(f'{m}: bigint' for m in MARKERS)}>>")
+    rows = files.select(F.explode(own).alias("name", "m")).filter(F.endswith("name", F.lit(".log")))
+    return rows.select(F.regexp_replace("name", r"\.log$", "").alias("run_id"), F.col("m.SPRAY_START").alias("spray_start_ns"), F.col("m.SPRAY_END").alias("spray_end_ns"))
+
+
+def attack_intervals(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """``runs`` (run_id, is_attack) with spray_start_ns and spray_end_ns. An attack run whose interval is missing or does not end after its start
+    is an error when its row is read; other runs have what was found."""
+    rows = runs.select("run_id", "is_attack").join(found.select("run_id", "spray_start_ns", "spray_end_ns"), "run_id", "left")
+    sound = ~F.col("is_attack") | F.coalesce(F.col("spray_end_ns") > F.col("spray_start_ns"), F.lit(False))
+    fault = F.raise_error(F.concat(F.lit("no sound interval of the attack run "), "run_id")).cast("long")
+    return rows.withColumn("spray_start_ns", F.when(sound, F.col("spray_start_ns")).otherwise(fault))
+
+
 def trace_bounds(events: DataFrame) -> DataFrame:
     """First and last stamp of each run by line order."""
     return events.groupBy("run_id").agg(F.min_by("timestamp_ns", "seq").alias("first_ns"), F.max_by("timestamp_ns", "seq").alias("last_ns"))

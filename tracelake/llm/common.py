@@ -27,6 +27,8 @@ def work_path(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set(CHECKPOINT_KEY, base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

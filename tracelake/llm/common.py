@@ -34,7 +34,8 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go once they are read, and Python workers get batches of at most 8 MB, whatever the texts' lengths.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -43,12 +44,14 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     What was shuffled for it is not needed once it is written.
     """
     spark, path = df.sparkSession, work_path(df.sparkSession, label)
-    before = spark.conf.get(CLEANUP_KEY, None)
+    before = {key: spark.conf.get(key, None) for key in WRITING}
     try:
-        spark.conf.set(CLEANUP_KEY, "true")
+        for key, value in WRITING.items():
+            spark.conf.set(key, value)
         df.select("*").write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.unset(CLEANUP_KEY) if before is None else spark.conf.set(CLEANUP_KEY, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -193,6 +193,15 @@ def test_texts_in_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in out.drop("kept", "text").collect()) == brute_repeats(rows, 40)
 
 
+def test_many_entries_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(1, 2, "x"), (3, 4, "y")], "a long, b long, text string")
+    for n, kind in ((10, "BroadcastHashJoin"), (60_000, "ShuffledHashJoin")):
+        rows = spark.range(1, 2).selectExpr("id AS a", "id + 1 AS b", f"sequence(1, {n}) AS w")
+        out = suffix_dedup._attach(docs, rows, "w", "left")
+        assert kind in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r.text, r.n) for r in out.selectExpr("text", "coalesce(size(w), -1) AS n").collect()} == {("x", n), ("y", -1)}
+
+
 def brute_contamination(docs, items, window=13):
     rx, low = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
     words = lambda t: rx.findall((t or "").encode().translate(low))

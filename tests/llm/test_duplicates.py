@@ -193,6 +193,26 @@ def test_texts_in_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in out.drop("kept", "text").collect()) == brute_repeats(rows, 40)
 
 
+def test_hot_marks_have_a_row_for_each_range(spark, monkeypatch):
+    """Many contexts that end alike and begin apart: strings are made of their different sides alone, not again for each context."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_CONTEXTS", 5)
+    rng, kept, materialise = random.Random(8), {}, suffix_dedup.materialise
+
+    def counted(df, label, *more):
+        out = materialise(df, label, *more)
+        kept[label] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialise", counted)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    passage, ends = text(60), [text(30) for _ in range(3)]
+    rows = [(k, text(40) + passage + ends[k % 3]) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(df, length=40, anchor=16)
+    assert sorted(tuple(r) for r in out.drop("kept", "text").collect()) == brute_repeats(rows, 40)
+    assert 0 < kept["repeats-hot-marks"] <= kept["repeats-ranges"]
+
+
 def test_many_entries_are_not_broadcast(spark):
     docs = spark.createDataFrame([(1, 2, "x"), (3, 4, "y")], "a long, b long, text string")
     for n, kind in ((10, "BroadcastHashJoin"), (60_000, "ShuffledHashJoin")):

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -193,6 +194,26 @@ def test_texts_in_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in out.drop("kept", "text").collect()) == brute_repeats(rows, 40)
 
 
+def test_memory_of_a_long_text():
+    raw = np.random.default_rng(1).integers(97, 123, 4 << 20).astype(np.uint8)
+    tracemalloc.start()
+    run = suffix_dedup._long if len(raw) >= suffix_dedup.LONG_BYTES else suffix_dedup.anchored
+    extra = run(raw, np.array([0, len(raw)]), 400, 160, b"k")[2]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (extra + 1).sum() == len(raw) - 399  # every string once
+    assert peak < 64 << 20
+
+
+def test_last_step_is_a_work_table(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 900), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (suffix_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "documents.parquet"))), suffix_dedup.op9_suffix_dedup(spark, str(tmp_path))):
+        # its texts went to Python in bounded batches, not in those of whoever reads the rows
+        assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.n_removed for r in out.collect()) == [0, 900]
+    assert "kept" not in out.columns
+
+
 def test_hot_marks_have_a_row_for_each_range(spark, monkeypatch):
     """Many contexts that end alike and begin apart: strings are made of their different sides alone, not again for each context."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_CONTEXTS", 5)

@@ -95,6 +95,13 @@ def test_long_secrets_are_whole_candidates(spark):
     assert got == [[("assigned", 2, 5010)], [("hex", 4, 516)], [("hex", 4, 34)], [], [], [("assigned", 0, 100_006)]]
 
 
+def test_candidates_find_the_base_spans_themselves(spark):
+    df = spark.createDataFrame([("token = 10.20.30.40x", ), ("token = abcdef123456xyz", )], "text string")
+    own, given = pii.candidates(F.col("text")), pii.candidates(F.col("text"), pii.base_spans(F.col("text")))
+    got = [[[(c.shape, c.s, c.e) for c in x] for x in r] for r in df.select(own, given).collect()]
+    assert got == [[[], []], [[("assigned", 0, 23)]] * 2]
+
+
 def test_redaction_leaves_nothing_of_long_secrets(spark):
     key = hashlib.sha512(b"k").hexdigest() * 3
     rows = [(i, f"x token = {hashlib.sha1(str(i).encode()).hexdigest()} y") for i in range(40)] + [(100 + i, f"see commit {hashlib.sha1(str(i).encode()).hexdigest()} z") for i in range(10)] + [(200, f"x token = {key} y")]

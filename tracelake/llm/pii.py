@@ -186,10 +186,10 @@ def _apart(base: Column):
     return lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Loose matches that overlap no base span, with the labelers' votes and shape features."""
+def candidates(text: Column, base: Column | None = None) -> Column:
+    """Loose matches that overlap no base span, with the labelers' votes and shape features. ``base``: the base spans of ``text``, if they are known."""
     found = F.flatten(F.array(*[F.transform(find(text, pattern, text.rlike(SIGNS[name])), _voted(name, kind)) for name, kind, pattern in LOOSE])).cast(_CAND)
-    return F.filter(found, _apart(base))
+    return F.filter(found, _apart(base_spans(text) if base is None else base))
 
 
 @dataclass

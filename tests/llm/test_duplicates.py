@@ -214,6 +214,13 @@ def test_last_step_is_a_work_table(spark, tmp_path):
     assert "kept" not in out.columns
 
 
+def test_documents_are_read_in_parts(spark, monkeypatch):
+    asked, docs = {}, spark.createDataFrame([(1, "a" * 900), (2, "b")], "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "table", lambda *_, **options: asked.update(options) or docs)
+    assert suffix_dedup.op9_suffix_dedup(spark, "").count() == 2
+    assert asked == {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
 def test_hot_marks_have_a_row_for_each_range(spark, monkeypatch):
     """Many contexts that end alike and begin apart: strings are made of their different sides alone, not again for each context."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_CONTEXTS", 5)
